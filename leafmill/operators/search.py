@@ -8,15 +8,13 @@ grouped once for the boolean result.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
-import re
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.operators.incremental import published
 from leafmill.plans.query import Predicate, load_token
 from leafmill.session import small
 
@@ -43,8 +41,8 @@ class Index:
         return rows.select("seg", "fname").distinct()
 
     def docs(self) -> DataFrame:
-        """(seg, fname, doc_id, loc, mtime) of all documents."""
-        rows = self.docinfo.select("seg", "doc_id", "loc", "mtime").distinct()
+        """(seg, fname, doc_id, loc, mtime) of all documents; repeated rows stay, they go after the search."""
+        rows = self.docinfo.select("seg", "doc_id", "loc", "mtime")
         return rows.join(small(self.live()), "seg")
 
 
@@ -106,7 +104,8 @@ def search(index: Index, preds: list[Predicate], *, any_of: bool = False, dedupe
         cand = narrow(index, used)
         needs = [i for i, p in enumerate(used) if not p.neg and (p.pattern or p.start)]
         if needs:
-            sents = index.sents.select("seg", "doc_id", "sent_id", "sent").distinct()
+            # Repeated sentences don't matter to what follows, so the table isn't shuffled to remove them.
+            sents = index.sents.select("seg", "doc_id", "sent_id", "sent")
             look = reduce(lambda a, b: a | b, [F.col(f"p{i}") for i in needs])
             found = cand.where(look).join(sents, ["seg", "doc_id", "sent_id"])
             verified = found.select(
@@ -144,6 +143,7 @@ def search(index: Index, preds: list[Predicate], *, any_of: bool = False, dedupe
         F.array_sort(F.array_distinct(F.array_compact(F.array(*context)))) if context else F.array().cast("array<int>")
     )
     out = docs.where(ok).select("seg", "fname", "doc_id", "loc", "mtime", contexts.alias("contexts"))
+    out = out.dropDuplicates(["seg", "doc_id", "loc", "mtime"])
     return newest(out) if dedupe else out
 
 
@@ -257,7 +257,8 @@ def with_snippets(index: Index, found: DataFrame, preds: list[Predicate]) -> Dat
     )
     need = found.select("seg", "doc_id", F.explode(F.array_distinct(F.concat(F.array(F.lit(0)), wanted))).alias("sent_id"))
     got = (
-        need.join(index.sents.select("seg", "doc_id", "sent_id", "sent").distinct(), ["seg", "doc_id", "sent_id"])
+        need.join(index.sents.select("seg", "doc_id", "sent_id", "sent"), ["seg", "doc_id", "sent_id"])
+        .dropDuplicates(["seg", "doc_id", "sent_id"])
         .groupBy("seg", "doc_id")
         .agg(F.collect_list("sent_id").alias("ids"), F.collect_list("sent").alias("said"))
     )

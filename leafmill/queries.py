@@ -197,7 +197,7 @@ def search_counters(spark, d):
     """Sentences that the terms narrow to, and those that the pattern verifies."""
     i, p = _index(spark, d), ql.keyword("near the harbor")
     cand = se.narrow(i, [p])
-    sents = i.sents.select("seg", "doc_id", "sent_id", "sent").distinct()
+    sents = i.sents.select("seg", "doc_id", "sent_id", "sent")
     ok = F.max(F.coalesce(F.lower("sent").rlike(p.pattern), F.lit(False)))
     each = cand.join(sents, ["seg", "doc_id", "sent_id"], "left").groupBy("seg", "doc_id", "sent_id").agg(ok.alias("ok"))
     return each.agg(F.count("*").alias("narrowed"), F.count_if("ok").alias("verified"))
@@ -207,8 +207,8 @@ def search_counters(spark, d):
 def snippet_first_match(spark, d):
     """First verified sentence of each hit."""
     found = _shown(se.search(_index(spark, d), ql.parse("harbor"))).select("seg", "doc_id", "first_sent")
-    sents = table(spark, d, "sents").select("seg", "doc_id", F.col("sent_id").alias("first_sent"), "sent").distinct()
-    return found.join(sents, ["seg", "doc_id", "first_sent"])
+    sents = table(spark, d, "sents").select("seg", "doc_id", F.col("sent_id").alias("first_sent"), "sent")
+    return found.join(sents, ["seg", "doc_id", "first_sent"]).distinct()
 
 
 @_query("SELECT DISTINCT seg, doc_id, sent_id, regexp_replace(sent, 'harbor', '<b>\\0</b>', 'g') AS shown FROM sents WHERE regexp_matches(sent, 'harbor')")
