@@ -184,6 +184,21 @@ def parse(query: str, *, strict: bool = False, most: int = MOST_TERMS) -> list[P
     return out
 
 
+def parse_readings(query: str, *, strict: bool = False, most: int = MOST_TERMS) -> tuple[bool, list[Predicate]]:
+    """(any_of, predicates) of a query over an index with readings.
+
+    If every term can be read, a single Latin one is searched as keyword or
+    reading, and any others as readings; else it is an ordinary query.
+    """
+    terms = [t.strip('"') for t in _TERM.findall(query or "")[:most]]
+    read = [kana(t) if t and t[:1] not in "-!" else None for t in terms]
+    if terms and all(read):
+        if len(terms) == 1 and terms[0].isascii():
+            return True, [keyword(terms[0], strict=strict), reading(read[0])]
+        return False, [reading(r) for r in read]
+    return False, parse(query, strict=strict, most=most)
+
+
 def save_token(fname: str, doc_id: int, found: int) -> str:
     """Where a listing stopped, as text that can be handed out."""
     name = fname.encode()

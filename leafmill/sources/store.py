@@ -215,6 +215,18 @@ def validate(catalog: DataFrame, rescan: DataFrame) -> DataFrame:
     return a.join(b, "recno", "full_outer").where(~F.col("code").eqNullSafe(F.col("scanned")))
 
 
+def rescan(entries: DataFrame, rotate: int = ROTATE) -> DataFrame:
+    """(recno, code): the catalog that follows from the entries themselves."""
+    placed = layout(entries.select("recno", F.octet_length("data").alias("size")), rotate)
+    return placed.select("recno", catalog_code(F.col("tar_idx"), F.col("tar_offset")).alias("code"))
+
+
+def recover(catalog: DataFrame, entries: DataFrame, rotate: int = ROTATE) -> DataFrame:
+    """(recno, code) of a right catalog, and ``was``: the code it had, null where one was missing."""
+    have = catalog.select("recno", F.col("code").alias("was")).dropDuplicates(["recno"])
+    return rescan(entries, rotate).join(have, "recno", "left")
+
+
 @F.pandas_udf(BinaryType())
 def gunzip(data: pd.Series) -> pd.Series:
     """Unpacked bytes; data that isn't gzip stays as it is, null stays null."""
