@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,20 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int = 8) -> Sp
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per context, as they may not have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_leafmill_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="leafmill-")) / "leafmill.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, Path(home.name) / f.relative_to(home))
+    sc.addPyFile(str(at))
+    sc._leafmill_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One table of a data directory, pruned to the named columns."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
