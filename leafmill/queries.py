@@ -271,7 +271,7 @@ def index_dump(spark, d):
     return ix.dump(docinfo, table(spark, d, "sents", "seg", "doc_id", "sent_id", "sent"), table(spark, d, "postings", "kind", "term", "seg", "doc_id", "sent_id"))
 
 
-_STORED_ROWS = "SELECT DISTINCT kind, term, seg, doc_id, sent_id, CASE WHEN doc_id % 7 = 0 THEN doc_id * 1000 + sent_id ELSE -doc_id * 1000 - sent_id END AS pos FROM postings WHERE kind IS NOT NULL AND term IS NOT NULL"
+_STORED_ROWS = "SELECT DISTINCT kind, term, seg, doc_id, sent_id, CASE WHEN kind = 'label' THEN doc_id * 1000 + sent_id ELSE -doc_id * 1000 - sent_id END AS pos FROM postings WHERE kind IS NOT NULL AND term IS NOT NULL"
 
 
 @_query(f"SELECT kind, term, seg, doc_id, sent_id, pos FROM (SELECT *, lag((seg, doc_id, sent_id)) OVER (PARTITION BY kind, term, seg ORDER BY pos) AS b FROM ({_STORED_ROWS})) WHERE b <= (seg, doc_id, sent_id)")
@@ -279,7 +279,7 @@ def posting_order_check(spark, d):
     """Entries of stored lists that aren't smaller than the one before; the stored order is doctored here."""
     rows = table(spark, d, "postings", "kind", "term", "seg", "doc_id", "sent_id").where("kind is not null and term is not null").distinct()
     place = F.col("doc_id") * 1000 + F.col("sent_id")
-    rows = rows.withColumn("pos", F.when(F.col("doc_id") % 7 == 0, place).otherwise(-place))
+    rows = rows.withColumn("pos", F.when(F.col("kind") == "label", place).otherwise(-place))
     return ix.out_of_order(rows, ["kind", "term", "seg"])
 
 
@@ -422,7 +422,7 @@ def mail_info(spark, d):
     return readers.mail_info(_mail_docs(spark, d), "doc_id", "text", "mtime")
 
 
-@_query()
+@_query(f"SELECT doc_id, 0 AS part, 'text/plain' AS kind, regexp_replace(text, '^(?s:.*?)\\r?\\n\\r?\\n', '') AS text FROM ({_MAILS})")
 def mail_parts(spark, d):
     """Body or parts of every mail."""
     return readers.mail_parts(_mail_docs(spark, d), "doc_id", "text")
@@ -452,7 +452,7 @@ def mail_sender_search(spark, d):
     return se.search(_mail_index(spark, d), ql.parse("from:example")).select("doc_id")
 
 
-@_query()
+@_query(f"WITH m AS (SELECT doc_id, regexp_extract({_FIELD('Message-ID')}, '<([^<>]+)>', 1) AS term FROM ({_MAILS}) WHERE {_FIELD('Message-ID')} IS NOT NULL) SELECT CAST(doc_id AS INT) AS doc_id, loc FROM documents WHERE doc_id IN (SELECT doc_id FROM m WHERE term = (SELECT arg_min(term, doc_id) FROM m))")
 def mail_thread(spark, d):
     """Mails that are or refer to a message; the message is the one of the smallest document."""
     i = _mail_index(spark, d)
@@ -602,11 +602,11 @@ def cms_unmodified(spark, d):
     return vs.unmodified(table(spark, d, "articles"))
 
 
-@_query(f"WITH {_SNAPS}, {_CHAIN} SELECT tid, next, CASE WHEN tid LIKE '%7' THEN 'ffffffff' ELSE next END AS stored FROM chain WHERE tid LIKE '%7' AND next <> 'ffffffff'")
+@_query(f"WITH {_SNAPS}, {_CHAIN} SELECT tid, next, 'ffffffff' AS stored FROM chain WHERE next >= tid AND next <> 'ffffffff'")
 def cms_validate(spark, d):
     """Where a doctored chain disagrees with the names."""
     rows = table(spark, d, "articles")
-    doctored = vs.chain(rows).withColumn("next", F.when(F.col("tid").endswith("7"), "ffffffff").otherwise(F.col("next")))
+    doctored = vs.chain(rows).withColumn("next", F.when(F.col("next") >= F.col("tid"), "ffffffff").otherwise(F.col("next")))
     return vs.validate(rows, doctored)
 
 
@@ -637,11 +637,11 @@ def kv_merge(spark, d):
     return store.merge_values(_parts(spark, d).withColumn("source", F.lit(0)))
 
 
-@_query("SELECT p_brand AS key, arg_min(p_type, p_partkey) AS value FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_partkey % 3 = 0) GROUP BY p_brand")
+@_query("SELECT p_brand AS key, arg_min(p_type, p_partkey) AS value FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand")
 def kv_get(spark, d):
-    """First value of asked keys."""
+    """First value of every key."""
     kv = _parts(spark, d)
-    return store.get(kv, kv.where("seq % 3 = 0").select("key"))
+    return store.get(kv, kv.select("key"))
 
 
 @_query("SELECT p_partkey AS seq, p_brand AS key, p_type AS value FROM part WHERE p_partkey >= (SELECT min(p_partkey) FROM part WHERE p_brand = (SELECT max(p_brand) FROM part))")
@@ -672,11 +672,11 @@ def _trie(spark, d):
     return a.unionByName(b).unionByName(e)
 
 
-@_query("SELECT r_name || '/' || n_name || '/' || c_name AS at, r_regionkey || ' ' || n_nationkey || ' ' || c_custkey AS found FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 5 = 0")
+@_query("SELECT r_name || '/' || n_name || '/' || c_name AS at, r_regionkey || ' ' || n_nationkey || ' ' || c_custkey AS found FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def trie_lookup(spark, d):
-    """Values along asked paths; paths that end nowhere find nothing."""
+    """Values along the paths of all customers; paths that end nowhere find nothing."""
     trie = _trie(spark, d)
-    deep = trie.where((F.size("path") == 3) & (F.col("value").cast("bigint") % 5 == 0)).select("path")
+    deep = trie.where(F.size("path") == 3).select("path")
     asked = deep.unionByName(deep.select(F.concat(F.slice("path", 1, 2), F.array(F.lit("nobody"))).alias("path")))
     got = store.trie_lookup(trie, asked)
     return got.select(F.array_join("path", "/").alias("at"), F.array_join("values", " ").alias("found"))
@@ -698,30 +698,31 @@ def archive_layout(spark, d):
     return store.layout(docs.select(F.col("doc_id").alias("recno"), F.octet_length("text").alias("size")), 20480)
 
 
-@_query("SELECT printf('%08x', doc_id) AS loc, text FROM documents WHERE doc_id % 10 = 3 AND text IS NOT NULL")
+@_query("SELECT printf('%08x', doc_id) AS loc, text FROM documents WHERE text IS NOT NULL")
 def archive_get(spark, d):
     """Documents packed into an archive and read back by their locations."""
     docs = table(spark, d, "documents", "doc_id", "text", "mtime").where("text is not null")
     entries = docs.select(F.col("doc_id").alias("recno"), store.gzipped(F.encode("text", "utf-8")).alias("data"), "mtime")
-    got = store.archive_get(entries, docs.where("doc_id % 10 = 3").select(hex_id(F.col("doc_id")).alias("loc")))
+    got = store.archive_get(entries, docs.select(hex_id(F.col("doc_id")).alias("loc")))
     return store.archive_corpus(got, packed=True).select("loc", F.decode("content", "utf-8").alias("text"))
 
 
-@_query("SELECT doc_id AS recno, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE loc END AS name, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE mtime END AS mtime FROM documents")
+@_query("SELECT doc_id AS recno, CASE WHEN doctype = 'T' THEN 'new' ELSE loc END AS name, CASE WHEN doctype = 'T' THEN 1 ELSE mtime END AS mtime FROM documents")
 def archive_set_info(spark, d):
-    """Names and times changed for some entries."""
-    e = table(spark, d, "documents").select(F.col("doc_id").alias("recno"), F.col("loc").alias("name"), "mtime")
-    return store.set_info(e, e.where("recno % 4 = 0").select("recno", F.lit("new").alias("name"), F.lit(1).alias("mtime")))
+    """Names and times changed for the plain texts among all entries."""
+    docs = table(spark, d, "documents", "doc_id", "loc", "mtime", "doctype").withColumnRenamed("doc_id", "recno")
+    changes = docs.where("doctype = 'T'").select("recno", F.lit("new").alias("name"), F.lit(1).alias("mtime"))
+    return store.set_info(docs.select("recno", F.col("loc").alias("name"), "mtime"), changes)
 
 
-@_query("SELECT doc_id AS recno, printf('%07x%08x', 0, doc_id * 512) AS code, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE printf('%07x%08x', 1, doc_id * 512) END AS scanned FROM documents WHERE doc_id % 11 = 0 OR doc_id % 11 = 1")
+@_query("SELECT doc_id AS recno, printf('%07x%08x', 0, doc_id * 512) AS code, CASE WHEN doctype = 'E' THEN NULL ELSE printf('%07x%08x', 1, doc_id * 512) END AS scanned FROM documents WHERE doctype IN ('E', 'H')")
 def catalog_validate(spark, d):
     """Entries on which a doctored catalog and a scan disagree."""
     recno = F.col("doc_id")
-    docs = table(spark, d, "documents", "doc_id")
+    docs = table(spark, d, "documents", "doc_id", "doctype")
     cat = docs.select(recno.alias("recno"), store.catalog_code(F.lit(0), recno * 512).alias("code"))
-    scan = docs.where("doc_id % 11 <> 0").select(
-        recno.alias("recno"), store.catalog_code(F.when(recno % 11 == 1, 1).otherwise(0), recno * 512).alias("code")
+    scan = docs.where("doctype <> 'E'").select(
+        recno.alias("recno"), store.catalog_code(F.when(F.col("doctype") == "H", 1).otherwise(0), recno * 512).alias("code")
     )
     return store.validate(cat, scan)
 
@@ -761,18 +762,19 @@ def width_fold(spark, d):
 _DICT = "SELECT p_name AS reading, p_brand AS word, p_type AS pos FROM part"
 
 
-@_query(f"SELECT DISTINCT * FROM ({_DICT} UNION ALL {_DICT} WHERE p_partkey % 2 = 0)")
+@_query(f"SELECT DISTINCT * FROM ({_DICT} UNION ALL {_DICT} WHERE p_size <= 25)")
 def dictionary_build(spark, d):
     """Union of word lists, each entry once."""
-    p = table(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_type")
+    p = table(spark, d, "part", "p_size", "p_name", "p_brand", "p_type")
     rows = lambda df: df.select(F.col("p_name").alias("reading"), F.col("p_brand").alias("word"), F.col("p_type").alias("pos"))
-    return rows(p).unionByName(rows(p.where("p_partkey % 2 = 0"))).dropDuplicates(["reading", "word", "pos"])
+    return rows(p).unionByName(rows(p.where("p_size <= 25"))).dropDuplicates(["reading", "word", "pos"])
 
 
-@_query(f"SELECT 'gone' AS change, * FROM ({_DICT} WHERE p_partkey % 2 = 0 EXCEPT ALL {_DICT} WHERE p_partkey % 3 = 0) UNION ALL SELECT 'new', * FROM ({_DICT} WHERE p_partkey % 3 = 0 EXCEPT ALL {_DICT} WHERE p_partkey % 2 = 0)")
+@_query(f"SELECT 'gone' AS change, * FROM ({_DICT} WHERE p_size <= 30 EXCEPT ALL {_DICT} WHERE p_size >= 10) UNION ALL SELECT 'new', * FROM ({_DICT} WHERE p_size >= 10 EXCEPT ALL {_DICT} WHERE p_size <= 30)")
 def dictionary_diff(spark, d):
     """Entries that go and come between two word lists."""
-    p = table(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_type")
-    rows = lambda k: p.where(f"p_partkey % {k} = 0").select(F.col("p_name").alias("reading"), F.col("p_brand").alias("word"), F.col("p_type").alias("pos"))
-    gone = rows(2).exceptAll(rows(3)).select(F.lit("gone").alias("change"), "*")
-    return gone.unionByName(rows(3).exceptAll(rows(2)).select(F.lit("new").alias("change"), "*"))
+    p = table(spark, d, "part", "p_size", "p_name", "p_brand", "p_type")
+    rows = lambda part: p.where(part).select(F.col("p_name").alias("reading"), F.col("p_brand").alias("word"), F.col("p_type").alias("pos"))
+    old, new = rows("p_size <= 30"), rows("p_size >= 10")
+    gone = old.exceptAll(new).select(F.lit("gone").alias("change"), "*")
+    return gone.unionByName(new.exceptAll(old).select(F.lit("new").alias("change"), "*"))
