@@ -129,12 +129,15 @@ def term_frequency(rows: DataFrame, term: str, record: list[str]) -> DataFrame:
     )
 
 
-def mark(frequency: DataFrame, total: int, rare: int = 1, common: float = 0.2) -> DataFrame:
-    """Adds ``mark``: ``rare`` up to ``rare`` records, ``common`` in more than that share of ``total``, else null."""
+def mark(frequency: DataFrame, total: int, rare: int = 1, common: tuple[int, int] = (1, 5)) -> DataFrame:
+    """Adds ``mark``: ``rare`` up to ``rare`` records, ``common`` in more than that share of ``total``, else null.
+
+    The share is a fraction of whole numbers, so the comparison is exact.
+    """
     return frequency.withColumn(
         "mark",
         F.when(F.col("records") <= rare, F.lit("rare")).when(
-            F.col("records") > F.lit(common) * F.lit(total), F.lit("common")
+            F.col("records") * common[1] > common[0] * total, F.lit("common")
         ),
     )
 

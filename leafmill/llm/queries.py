@@ -36,6 +36,6 @@ SQL = {
              d AS (SELECT count(DISTINCT (seg, doc_id)) AS n FROM docinfo
                    WHERE seg IN (SELECT seg FROM segments WHERE fname LIKE '%.cdb'))
         SELECT f.term AS term, CASE WHEN f.n = 1 THEN 'rare' ELSE 'common' END AS mark
-        FROM f, d WHERE f.n = 1 OR f.n > 0.2 * d.n""",
+        FROM f, d WHERE f.n = 1 OR f.n * 5 > d.n""",
     "p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
