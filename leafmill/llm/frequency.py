@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.operators.incremental import published
-from leafmill.session import cut, table
+from leafmill.session import cut, small, table
 
 #: Identifiers in one array, and arrays a task holds before it passes them on.
 RANGE, HELD = 4096, 512
@@ -142,15 +142,25 @@ def mark(frequency: DataFrame, total: int, rare: int = 1, common: tuple[int, int
     )
 
 
+def _packed(high, low):
+    """Two 32-bit numbers in one, null in the low one apart from all numbers that occur (as -1)."""
+    return F.shiftleft(high.cast("bigint"), 32).bitwiseOR(
+        F.coalesce(low, F.lit(-1)).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))
+    )
+
+
 def _published_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(term, doc, place) of the text postings in published segments, packed so that little is moved."""
     postings = table(spark, sf_dir, "postings", "kind", "term", "seg", "doc_id", "sent_id")
     keep = published(table(spark, sf_dir, "segments"))
-    return postings.where(F.col("kind").isin("word", "gram")).join(keep, "seg", "left_semi")
+    rows = postings.where(F.col("kind").isin("word", "gram")).join(small(keep), "seg", "left_semi")
+    kind = F.when(F.col("kind") == "word", 0).otherwise(1)
+    return rows.select("term", _packed(F.col("seg"), F.col("doc_id")).alias("doc"), _packed(kind, F.col("sent_id")).alias("place"))
 
 
 def p7_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences and documents of every term of the published postings."""
-    return term_frequency(_published_postings(spark, sf_dir), "term", ["seg", "doc_id"])
+    return term_frequency(_published_postings(spark, sf_dir), "term", ["doc"])
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
