@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import (
-    date_terms, from_hex, grams, hex_id, key_hash, marks, readings, stored, words,
+    date_terms, from_hex, grams, hex_id, key_hash, marks, readings, stored,
 )
 from leafmill.operators import incremental, index as ix, search as se, segments as sg, versions as vs
 from leafmill.operators.numbering import number
