@@ -273,3 +273,12 @@ def test_small_measures(spark):
     df = spark.range(100)
     assert "Hint broadcast" in small(df)._jdf.queryExecution().logical().toString()
     assert "Hint broadcast" not in small(df, limit=10)._jdf.queryExecution().logical().toString()
+
+
+def test_the_package_is_shipped_once(spark):
+    from leafmill.session import ship
+
+    ship(spark)
+    files = spark.sparkContext.listFiles
+    ship(spark)
+    assert sum("leafmill.zip" in f for f in files) == 1 and spark.sparkContext.listFiles == files
