@@ -14,7 +14,7 @@ UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}\p{Lao}\p{Khmer}\p{Myanma
 _TAG = regex.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", regex.S)
 _LINE_MARK = regex.compile(
     r"^[ \t]*(?:(?:>[ \t]?)+|\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d\S*[ \t]+(?:\[?[A-Z]{3,8}\]?:?[ \t]+)?|[-*+•・◦‣#|/;%]+[ \t]+"
-    r"|\(?\d{1,4}[.):][ \t]+)*",
+    r"|\(?\d{1,4}[.):][ \t]+)+",
     regex.M,
 )
 _TOKEN = regex.compile(rf"[{UNSPACED}][\p{{M}}]*|[[\p{{L}}\p{{N}}\p{{M}}]--[{UNSPACED}]]+", regex.V1)
@@ -23,10 +23,12 @@ _ID: dict[str, int] = {}
 
 def plain(text: str) -> str:
     """Text without tags and marks at line starts, in one width, composition and case."""
-    text = _LINE_MARK.sub("", _TAG.sub(" ", text))
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    text = _LINE_MARK.sub("", text)
     if "&" in text:
         text = html.unescape(text)
-    return unicodedata.normalize("NFKC", text).lower()
+    return (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
 
 
 def words(text: str | None) -> list[str]:
@@ -36,15 +38,11 @@ def words(text: str | None) -> list[str]:
 
 def word_ids(tokens: list[str]) -> np.ndarray:
     """A 64-bit number of each token, the same in every process."""
-    out = np.empty(len(tokens), np.uint64)
-    for k, t in enumerate(tokens):
-        i = _ID.get(t)
-        if i is None:
-            if len(_ID) > 500_000:
-                _ID.clear()
-            i = _ID[t] = xxhash.xxh64_intdigest(t)
-        out[k] = i
-    return out
+    if len(_ID) > 500_000:
+        _ID.clear()
+    for t in set(tokens).difference(_ID):
+        _ID[t] = xxhash.xxh64_intdigest(t)
+    return np.array([_ID[t] for t in tokens], np.uint64)
 
 
 def shingles(ids: np.ndarray, size: int) -> np.ndarray:
