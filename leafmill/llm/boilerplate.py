@@ -4,8 +4,10 @@ Each page's containers are scored by the prose in them, and by whether they
 hold the headline that the page's title names. A container is known by the
 path of tags and classes that leads to it. Spark sums the votes of all pages of
 a host; paths whose text is the same on page after page lose. The winning path
-is then used to extract every page of the host again. Inside the container,
-parts of the host's template, such as adverts, have paths of their own.
+is then extracted from every page of the host that has it; elsewhere the page's
+own best container counts. Without headline it needs prose to be an article.
+Inside the container, parts of the host's template, such as adverts, have paths
+of their own.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from functools import lru_cache
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.session import cut, small, table
@@ -176,6 +178,11 @@ class Container:
                 total += len(b.text) if _PROSE.search(b.text) else 0.2 * len(b.text)
         return total * (8.0 if self.titled else 1.0)
 
+    @property
+    def prose(self) -> int:
+        """Blocks of prose outside links."""
+        return sum(not b.links and "©" not in b.text and _PROSE.search(b.text) is not None for b in self.blocks)
+
 
 def containers(title: str, blocks: list[Block]) -> list[Container]:
     """The containers of a page in order; the page itself is one if text stands bare."""
@@ -197,8 +204,8 @@ def candidates(page: str | None) -> tuple[list[tuple], list[tuple]]:
 
     Votes are (path, score, titled, said), the best container of each path,
     where ``said`` is a hash of its prose without numbers. Articles are (path,
-    score, bodies), the containers that hold the headline, with their blocks
-    less links, bylines and copyright lines.
+    score, titled, prose, bodies), the containers that hold the headline or
+    prose, with their blocks less links, bylines and copyright lines.
     """
     if not page:
         return [], []
@@ -211,7 +218,7 @@ def candidates(page: str | None) -> tuple[list[tuple], list[tuple]]:
     for c in best.values():
         said = _NUMBER.sub("0", " ".join(b.text for b in c.blocks if not b.links))
         votes.append((c.path, c.score, c.titled, xxhash.xxh64_intdigest(said) >> 1))
-    return votes, [(c.path, c.score, _bodies(c)) for c in found if c.titled]
+    return votes, [(c.path, c.score, c.titled, c.prose, _bodies(c)) for c in found if c.titled or c.prose]
 
 
 _NUMBER = regex.compile(r"\d+")
@@ -228,11 +235,11 @@ def _bodies(container: Container) -> list[str]:
 
 _PARSED = pa.schema([
     ("votes", pa.list_(pa.struct([("path", pa.string()), ("score", pa.float64()), ("titled", pa.bool_()), ("said", pa.int64())]))),
-    ("articles", pa.list_(pa.struct([("path", pa.string()), ("score", pa.float64()), ("bodies", pa.list_(pa.string()))]))),
+    ("articles", pa.list_(pa.struct([("path", pa.string()), ("score", pa.float64()), ("titled", pa.bool_()), ("prose", pa.int32()), ("bodies", pa.list_(pa.string()))]))),
 ])
 _PARSED_SQL = (
     "votes array<struct<path:string,score:double,titled:boolean,said:bigint>>,"
-    " articles array<struct<path:string,score:double,bodies:array<string>>>"
+    " articles array<struct<path:string,score:double,titled:boolean,prose:int,bodies:array<string>>>"
 )
 
 
@@ -252,16 +259,17 @@ def parsed(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "host", "html").mapInArrow(run, f"page_id bigint, host string, {_PARSED_SQL}")
 
 
-_VOTE, _ARTICLE = ("path", "score", "titled", "said"), ("path", "score", "bodies")
+_VOTE, _ARTICLE = ("path", "score", "titled", "said"), ("path", "score", "titled", "prose", "bodies")
 
 
 def winning_paths(votes: DataFrame) -> DataFrame:
-    """(host, path): of each host the container path with the most votes, ties by path.
+    """(host, path, agreed, fixed): of each host the container path with the most votes, ties by path.
 
     Takes (host, votes). Votes are the scores of all pages, times the share of
-    pages on which the container says something else. Sums and the approximate
-    distinct count are combined before the shuffle, so one host may hold any
-    share of the pages.
+    pages on which the container says something else. ``agreed`` is true if the
+    path says different things on different pages; ``fixed`` are paths that say
+    the same on more than half of their pages. Sums and the approximate distinct count
+    are combined before the shuffle, so one host may hold any share of the pages.
     """
     each = votes.where("host is not null").select("host", F.explode("votes").alias("v")).select("host", "v.*")
     sums = each.groupBy("host", "path").agg(
@@ -270,20 +278,20 @@ def winning_paths(votes: DataFrame) -> DataFrame:
         F.approx_count_distinct("said", 0.02).alias("said"),
     )
     weight = F.col("score") * F.least(F.lit(1.0), F.col("said") / F.col("pages"))
-    ranked = sums.withColumn(
-        "r", F.row_number().over(Window.partitionBy("host").orderBy(weight.desc(), "path"))
-    )
-    return ranked.where("r = 1").select("host", "path")
+    best = F.min(F.struct((-weight).alias("votes"), "path", "said")).alias("best")
+    fixed = F.collect_list(F.when(F.col("said") * 2 < F.col("pages"), F.col("path"))).alias("fixed")
+    return sums.groupBy("host").agg(best, fixed).select("host", "best.path", (F.col("best.said") > 1).alias("agreed"), "fixed")
 
 
 def body_blocks(page: str | None, path: str | None) -> list[str]:
     """Texts of the article's blocks in order; none for null, empty and pages without article.
 
-    ``path`` is the host's winning path; without one, or where the page's
-    headline stands elsewhere, the page's own best container counts.
+    ``path`` is the path that pages of the host agree on. Without one, or where
+    the page doesn't have it, the page's own best container counts, if it holds
+    the headline or several blocks of prose.
     """
-    articles = candidates(page)[1]
-    return max(articles, key=lambda a: (a[0] == path, a[1]))[2] if articles else []
+    articles = [a for a in candidates(page)[1] if a[2] or a[3] > 1 or a[0] == path]
+    return max(articles, key=lambda a: (a[0] == path, a[2], a[1]))[4] if articles else []
 
 
 def article_bodies(pages: DataFrame) -> DataFrame:
@@ -291,7 +299,7 @@ def article_bodies(pages: DataFrame) -> DataFrame:
 
     Null and empty pages give no rows; pages without url or host are extracted
     by their own best container. Repeated rows count once. Pages are parsed
-    once; what is kept until the votes are counted is article text and votes.
+    once; what is kept until the votes are counted is text and votes.
     """
     rows = pages.select("page_id", "url", "html").where("html is not null and html <> ''")
     rows = rows.withColumn("host", F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)))
@@ -299,9 +307,13 @@ def article_bodies(pages: DataFrame) -> DataFrame:
     seen = cut(parsed(rows))
     winners = cut(winning_paths(seen.select("host", "votes")))
     todo = seen.where(F.size("articles") > 0).select("page_id", "host", "articles").join(small(winners), "host", "left")
+    won = lambda a: a["path"].eqNullSafe(F.col("path"))
+    said_often = lambda a: F.coalesce(F.array_contains("fixed", a["path"]), F.lit(False))
+    is_article = lambda a: a["titled"] | (won(a) & F.col("agreed")) | ((a["prose"] > 1) & ~said_often(a))
     chosen = F.array_max(
         F.transform(
-            "articles", lambda a: F.struct(a["path"].eqNullSafe(F.col("path")).alias("won"), a["score"].alias("score"), a["bodies"].alias("bodies"))
+            F.filter("articles", is_article),
+            lambda a: F.struct(won(a).alias("won"), a["titled"].alias("titled"), a["score"].alias("score"), a["bodies"].alias("bodies")),
         )
     )
     return todo.select("page_id", F.explode(chosen["bodies"]).alias("body")).distinct()

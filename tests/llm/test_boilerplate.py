@@ -45,3 +45,23 @@ def test_links_are_no_article():
 
 def test_empty(spark):
     assert article_bodies(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_title_is_only_a_vote(spark):
+    """Pages without title, or with one that doesn't begin with the headline, are extracted by the host's path or their prose."""
+    words = "ash birch cedar dogwood elm fir ginkgo hazel ivy".split()  # numbers alone don't make texts differ
+
+    def bare(k, body, host, title=""):
+        k, url, html = page(k, body, host)
+        return k, url, html.replace(f"<title>Story {k} &amp; more - Site</title>", title)
+
+    rows = [page(k, story(words[k]))[:2] + (page(k, story(words[k]))[2].replace(f"<title>Story {k}", f"<title>Story {words[k]}"),) for k in range(3)]
+    rows += [bare(3, story("fir"), "a"), bare(4, story("elm"), "a", "<title>Site | Story elm</title>")]
+    rows += [bare(k, story(words[k]), "b") for k in (5, 6, 7)]
+    rows += [bare(8, "<div id=main><p>Only one paragraph here.</div>", "a"), (20, None, rows[5][2])]
+    rows += [bare(k, "", "a") for k in (21, 22, 23)]
+    got = {}
+    for r in article_bodies(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect():
+        got.setdefault(r["page_id"], set()).add(r["body"])
+    said = dict(enumerate(words[:3])) | {3: "fir", 4: "elm"} | {k: words[k] for k in (5, 6, 7)} | {20: words[5]}
+    assert got == {k: {w.format(k=v) for w in WANT} for k, v in said.items()} | {8: {"Only one paragraph here."}}
