@@ -45,7 +45,10 @@ def make(spark: SparkSession, docs: DataFrame, path: str, mode: str = "U", prefi
     docs = docs.withColumn("_type", F.lit(doctype))
     if doctype in ("H", "html"):
         docs = docs.withColumn("text", F.array_join(readers.html_sents(F.col("text")), "\n"))
-    tables = ix.build(docs, ["loc"], labels="labels", title="title", lines=F.col("_type").isin("C", "H"), per_segment=per_segment)
+    typed = "_type" if doctype in ("E", "email") else None
+    if typed:
+        docs = docs.withColumn("_type", F.lit("E"))
+    tables = ix.build(docs, ["loc"], labels="labels", title="title", lines=F.col("_type").isin("C", "H"), per_segment=per_segment, doctype=typed)
     moved = {k: df.withColumn("seg", (F.col("seg") + F.lit(last + 1)).cast("int")) for k, df in tables.items()}
     for name in ("docinfo", "sents", "postings"):
         moved[name].write.mode("append").parquet(f"{path}/{name}")
@@ -86,7 +89,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     a.add_argument("files")
     a.add_argument("-m", "--mode", choices="FUNR", default="U")
     a.add_argument("-p", "--prefix", default="idx")
-    a.add_argument("-t", "--doctype", choices="TCH", default="T")
+    a.add_argument("-t", "--doctype", choices="TCHE", default="T")
     a.add_argument("-e", "--encoding")
     a.add_argument("-D", "--docs", type=int, default=ix.SEGMENT_DOCS)
     a = sub.add_parser("search", help="search an index")

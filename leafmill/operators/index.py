@@ -58,15 +58,22 @@ def feature_postings(docs: DataFrame, keys: list[str], labels: Column | None = N
 
 
 def build(docs: DataFrame, order: list[str], text: str = "text", loc: str = "loc", mtime: str = "mtime", labels: str | None = None,
-          title: str | None = None, lines: Column | None = None, per_segment: int = SEGMENT_DOCS) -> dict[str, DataFrame]:
+          title: str | None = None, lines: Column | None = None, per_segment: int = SEGMENT_DOCS, doctype: str | None = None) -> dict[str, DataFrame]:
     """Tables docinfo, sents, postings and segments of a new index over ``docs``.
 
     Documents are numbered in ``order``; every ``per_segment`` of them make a
     segment, in which doc_ids start at 1. ``lines`` is true for documents that
-    are read line by line. A bound on a segment's terms isn't needed, since
+    are read line by line; with ``doctype``, a column, each is read by its type
+    instead, and text leaves of multipart mails are documents of their own with
+    the mail's loc, right after it. A bound on a segment's terms isn't needed, since
     nothing is held in memory until a segment is full.
     """
-    kept = list(dict.fromkeys([*order, text, loc, mtime, *([labels] if labels else []), *([title] if title else [])]))
+    kept = list(dict.fromkeys([*order, text, loc, mtime, *(c for c in (labels, title, doctype) if c)]))
+    if doctype:
+        from leafmill.sources.readers import sents_of, with_leaves
+
+        docs = with_leaves(docs.select(*kept), text, doctype)
+        order, kept = [*order, "part"], [*kept, "part"]
     flag = F.coalesce(lines, F.lit(False)) if lines is not None else F.lit(False)
     rows = number(docs.select(*kept, flag.alias("_lines")), *order, name="_n")
     rows = rows.select(
@@ -75,8 +82,11 @@ def build(docs: DataFrame, order: list[str], text: str = "text", loc: str = "loc
         (F.col("_n") % per_segment + 1).cast("int").alias("doc_id"),
     )
     keys = ["seg", "doc_id"]
-    cut_text = F.when(F.col("_lines"), line_sents(F.col(text))).otherwise(plain_sents(F.col(text)))
-    sents = number_sents(rows, keys, cut_text, F.col(title) if title else None)
+    if doctype:
+        sents = sents_of(rows, keys, text, doctype, title)
+    else:
+        cut_text = F.when(F.col("_lines"), line_sents(F.col(text))).otherwise(plain_sents(F.col(text)))
+        sents = number_sents(rows, keys, cut_text, F.col(title) if title else None)
     features = feature_postings(rows, keys, F.col(labels) if labels else None, F.col(mtime))
     postings = postings_of(sents, keys).unionByName(features)
     docinfo = rows.select(*keys, F.col(mtime).alias("mtime"), F.col(loc).alias("loc"))

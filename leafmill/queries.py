@@ -325,9 +325,11 @@ def cjk_bigrams(spark, d):
 _NUMBERED = "SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents"
 
 
-def _built(spark, d):
+def _built(spark, d, typed=False):
     docs = table(spark, d, "documents", "doc_id", "text", "loc", "mtime", "lang", "source", "doctype")
     docs = docs.withColumn("labels", F.array_compact(F.array("lang", "source"))).withColumnRenamed("doc_id", "id")
+    if typed:
+        return ix.build(docs, ["id"], labels="labels", doctype="doctype")
     return ix.build(docs, ["id"], labels="labels", lines=F.col("doctype") == "C")
 
 
@@ -354,6 +356,18 @@ def build_postings(spark, d):
     return _built(spark, d)["postings"].groupBy("seg", "kind").agg(F.count("*").alias("n"), F.count_distinct("term").alias("terms"))
 
 
+@_query()
+def build_sents_typed(spark, d):
+    """Sentences of a new index, each document read by its type: pages, mails and their text leaves as well."""
+    return _built(spark, d, typed=True)["sents"]
+
+
+@_query()
+def build_postings_typed(spark, d):
+    """Postings and terms of a new index by segment and kind, each document read by its type."""
+    return _built(spark, d, typed=True)["postings"].groupBy("seg", "kind").agg(F.count("*").alias("n"), F.count_distinct("term").alias("terms"))
+
+
 @_query(f"SELECT doc_id, unnest({_DATES}) AS term FROM documents WHERE mtime > 0")
 def default_features(spark, d):
     """Date terms of every document with a known mtime."""

@@ -11,7 +11,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from leafmill.functions.text import date_terms
 from leafmill.operators.index import line_sents, number_sents, plain_sents
@@ -252,6 +252,20 @@ def sents_of(df: DataFrame, keys: list[str], text: str, doctype: str, title: str
     return out.unionByName(number_sents(mails, keys, F.flatten(F.transform("_s", plain_sents))))
 
 
+def with_leaves(df: DataFrame, text: str, doctype: str) -> DataFrame:
+    """The rows with a column ``part``, 0; each text leaf of a multipart mail is a row more, of type T or H, with its part."""
+    rest = [c for c in df.columns if c not in (text, doctype)]
+    mails = df.where(F.upper(doctype) == "E").select(*rest, F.explode(_leaves(F.col(text))).alias("_leaf"))
+    leaves = mails.select(*rest, "_leaf.part", F.col("_leaf.kind").alias(doctype), F.col("_leaf.body").alias(text))
+    return df.withColumn("part", F.lit(0)).unionByName(leaves)
+
+
+@F.udf(ArrayType(StructType([StructField("part", IntegerType()), StructField("kind", StringType()), StructField("body", StringType())])))
+def _leaves(text: str | None):
+    kinds = {"text/plain": "T", "text/html": "H"}
+    return [(n, kinds[kind], body) for n, kind, body in (mail(text) or {"parts": []})["parts"] if n and kind in kinds]
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def _mail_sents(text: pd.Series) -> pd.Series:
     def one(t):
