@@ -114,8 +114,55 @@ def script_language(text: str) -> str | None:
     return m.lastgroup if m else None
 
 
-def _count(batches, text: str, lang: str):
-    """Counts of events by language: tokens with and without period, cases, followers of short periods."""
+def _label(said: str | None) -> str:
+    """Language key that a Latin paragraph's label gives; empty if it has none or one of another script."""
+    said = (said or "").strip().lower()
+    return "" if said in _OTHER else said
+
+
+#: Marks after which a sentence may start.
+_FRESH = ".!?…" + _HARD
+#: Letters of scripts other than Latin.
+_NOT_LATIN = regex.compile(r"[^\P{L}\p{Latin}\p{Common}\p{Inherited}]")
+
+
+def _foreign(token: str, latin: bool) -> bool:
+    """True for a token that teaches nothing about a paragraph's language: Chinese, Japanese, Thai or, in ``latin``, any other script."""
+    if token.isascii():
+        return False
+    return bool(_CJK_CHAR.search(token) or _UNMARKED.search(token) or latin and _NOT_LATIN.search(token))
+
+
+def _lower(batches, text: str, lang: str):
+    """Counts of words in lower case by the language that paragraphs are labelled with."""
+    held: Counter = Counter()
+
+    def out():
+        rows = [(*k, n) for k, n in held.items()]
+        held.clear()
+        return pd.DataFrame(rows, columns=["lang", "word", "n"])
+
+    for batch in batches:
+        for body, said in zip(batch[text], batch[lang]):
+            for a, b, _ in blocks(body) if body else ():
+                part = body[a:b]
+                key = script_language(part) or _label(said)
+                if key:
+                    for token in part.split():
+                        word = _type(token)[0]
+                        if word and not _foreign(token, False) and _first_of(token).islower():
+                            held[key, word] += 1
+                if len(held) > HELD:
+                    yield out()
+    if held:
+        yield out()
+
+
+def _count(batches, text: str, lang: str, known: Model):
+    """Counts of events by language: tokens with and without period, cases, followers of short periods.
+
+    Latin paragraphs without label are told by the profiles of ``known``; without profiles they share one key.
+    """
     held: Counter = Counter()
 
     def out():
@@ -129,13 +176,13 @@ def _count(batches, text: str, lang: str):
                 continue
             for a, b, _ in blocks(body):
                 part = body[a:b]
-                key = script_language(part) or (said or "").strip().lower()
-                if not key or key in _OTHER:
-                    continue
-                if not part.isascii() and (_CJK_CHAR.search(part) or _UNMARKED.search(part)):
-                    continue
+                key = script_language(part) or _label(said)
                 tokens = part.split()
-                types = [_type(t) for t in tokens]
+                latin = not key
+                types = [("", False) if _foreign(t, latin) else _type(t) for t in tokens]
+                if not any(word for word, _ in types):
+                    continue
+                key = key or known.language(part, None)
                 fresh = True  # at a sentence start, as far as one can tell
                 for k, (token, (word, ends)) in enumerate(zip(tokens, types)):
                     if word:
@@ -153,7 +200,7 @@ def _count(batches, text: str, lang: str):
                                 held[key, "number", word, ""] += 1
                             elif follower and _first_of(tokens[k + 1]).isupper():
                                 held[key, "next", word, follower] += 1
-                    fresh = token.rstrip(_CLOSERS)[-1:] in ".!?…" or token[0] in _STRIP
+                    fresh = token.rstrip(_CLOSERS)[-1:] in _FRESH or token[0] in _STRIP
                 if len(held) > HELD:
                     yield out()
     if held:
@@ -198,18 +245,31 @@ class Model:
 
 
 def learn(df: DataFrame, text: str = "doctext", lang: str = "lang") -> Model:
-    """The model of all texts; null texts and texts without a language teach nothing.
+    """The model of all texts; null texts teach nothing.
 
+    Labelled paragraphs give the profiles by which the language of the others is
+    told; then all are counted.
     Tokens are counted where the texts are; abbreviations are scored in Spark,
     and only they, their followers, collocations of numbers and the profiles
     come to the driver. Their size is measured first; over the broadcast bound
     it is an error. Abbreviations need a count that grows exponentially with
     their length, so a larger corpus adds few.
     """
+    texts = df.select(text, lang).distinct()
+    labelled = (
+        texts.mapInPandas(lambda b: _lower(b, text, lang), "lang string, word string, n bigint")
+        .groupBy("lang", "word")
+        .agg(F.sum("n").alias("lower"))
+        .withColumn("r", F.row_number().over(_by_count()))
+        .where(F.col("r") <= PROFILE)
+    )
+    known = Model()
+    for r in labelled.collect():
+        # Scripts with one key need no profile to be told.
+        if r["lang"] not in _SCRIPT.groupindex:
+            known.profile[r["lang"]].add(r["word"])
     counts = (
-        df.select(text, lang)
-        .distinct()
-        .mapInPandas(lambda b: _count(b, text, lang), "lang string, event string, a string, b string, n bigint")
+        texts.mapInPandas(lambda b: _count(b, text, lang, known), "lang string, event string, a string, b string, n bigint")
         .groupBy("lang", "event", "a", "b")
         .agg(F.sum("n").alias("n"))
         .cache()

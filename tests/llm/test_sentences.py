@@ -86,3 +86,19 @@ def test_real_texts_lose_nothing(spark):
         "docid", marks.alias("all"), F.length(F.regexp_replace(F.expr("substring(doctext, start_pos, end_pos - start_pos + 1)"), r"\s", "")).alias("n")
     )
     assert inside.groupBy("docid", "all").agg(F.sum("n").alias("n")).where("n <> all and abs(n - all) > 3").count() == 0
+
+
+def test_unlabelled_texts_teach(spark):
+    """Without labels, under a label of another script, and beside a Chinese word, abbreviations are learned."""
+    full = "The clerk met Prof. Varn in the town and the house of Prof. Lund. We saw the other clerk on the way. "
+    plain = "The boxes of the town are in the house and the clerk is on the way. We saw them."
+    for rows in (
+        [(full * 30, None)],
+        [(full * 30, " ")],
+        [(full * 30, "ja"), (plain, "en")],
+        [(full * 30, None), (plain * 5, "en"), ("Der Weg in die Stadt ist lang und das Haus ist klein.", "de")],
+        [((full + "The mark 词典 stood there. ") * 30, "en")],
+    ):
+        model = learn(spark.createDataFrame(rows, "doctext string, lang string"))
+        assert any("prof" in words for words in model.abbreviations.values()), rows[0][1]
+        assert cut("We met Prof. Varn in the town. The way is long.", model, rows[0][1]) == ["We met Prof. Varn in the town.", "The way is long."]
