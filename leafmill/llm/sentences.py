@@ -194,7 +194,7 @@ def _count(batches, text: str, lang: str, known: Model):
                             held[key, "lower", word, ""] += 1
                         elif not fresh and first.isupper():
                             held[key, "upper", word, ""] += 1
-                        if ends and k + 1 < len(tokens) and (len(word) <= 7 or word == "#"):
+                        if ends and k + 1 < len(tokens):
                             follower = types[k + 1][0]
                             if follower == "#":
                                 held[key, "number", word, ""] += 1
@@ -238,7 +238,7 @@ class Model:
         said = (said or "").strip().lower()
         if not self.profile:
             return said
-        words = [_bare(t) for t in part.split(None, 200)[:200]]
+        words = [_bare(t) for t in part.split()]
         best = {k: sum(w in p for w in words) for k, p in self.profile.items()}
         top = max(best, key=lambda k: (best[k], k == said, k))
         return said if best.get(said, -1) >= best[top] else top

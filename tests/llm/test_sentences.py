@@ -102,3 +102,12 @@ def test_unlabelled_texts_teach(spark):
         model = learn(spark.createDataFrame(rows, "doctext string, lang string"))
         assert any("prof" in words for words in model.abbreviations.values()), rows[0][1]
         assert cut("We met Prof. Varn in the town. The way is long.", model, rows[0][1]) == ["We met Prof. Varn in the town.", "The way is long."]
+
+
+def test_whole_paragraph_and_long_words_count(spark):
+    m = Model()
+    m.profile["en"], m.profile["de"] = {"the", "of"}, {"der", "und"}
+    assert m.language("the of " * 100 + "der und " * 300, None) == "de"
+    text = "The clerk saw sections. 3 and the house saw sections. 4 on the way. " * 40
+    got = learn(spark.createDataFrame([(text + "We met the clerk and 5 of them in sections there.", "en")], "doctext string, lang string"))
+    assert "sections" in got.numbered["en"] | got.mixed["en"]
