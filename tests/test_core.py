@@ -254,6 +254,40 @@ def test_runs_neither_skip_nor_repeat(spark, tmp_path):
     assert log.next_batch(both).count() == 0
 
 
+def test_runs_survive_failures(spark, tmp_path):
+    log = inc.RunLog(spark, str(tmp_path / "log"))
+    rows = spark.createDataFrame([(1, "a", b"old", 0, None, 0), (2, "a", b"new", 0, ts(5), 0), (3, "b", b"x", 0, ts(6), 0)], RAW)
+    rows.write.parquet(str(tmp_path / "raw"))
+    read = lambda: spark.read.schema(RAW).parquet(str(tmp_path / "raw"))
+    batch = log.next_batch(read())
+    # What arrives between the batch and its commit isn't marked as processed.
+    spark.createDataFrame([(4, "c", b"late", 0, ts(7), 0)], RAW).write.mode("append").parquet(str(tmp_path / "raw"))
+    log.commit(1, batch, ts(7))
+    assert sorted(r["rec_id"] for r in batch.collect()) == [2, 3]
+    # An older delivery without seen_at is reread, but doesn't displace the newer one that was processed.
+    assert [r["rec_id"] for r in log.next_batch(read()).collect()] == [4]
+    # A broken run and its retry under the same number count once.
+    log.next_batch(read())
+    again = inc.RunLog(spark, log.path)
+    retry = again.next_batch(read())
+    again.commit(2, retry, ts(8))
+    assert again.next_batch(read()).count() == 0 and again.ledger().where("loc = 'c'").count() == 1
+    other, both = log.next_batch(read()), log.next_batch(read())
+    with pytest.raises(inc.Conflict):
+        log.commit(2, other, ts(9))
+    log.commit(3, other, ts(8))
+    with pytest.raises(inc.Conflict):
+        log.commit(4, both, ts(8))  # took the same deliveries as run 3
+    with pytest.raises(ValueError):
+        log.commit(5, read(), ts(9))
+    # Back to an earlier version is a change; the compacted ledger says the same.
+    spark.createDataFrame([(5, "a", b"old", 0, ts(9), 0)], RAW).write.mode("append").parquet(str(tmp_path / "raw"))
+    log.compact(6)
+    assert [m["run_id"] for m in log.marks()] == [6] and log.runs().count() == 1
+    assert [r["rec_id"] for r in log.next_batch(read()).collect()] == [5]
+    assert log.next_batch(read().limit(0)).count() == 0
+
+
 def test_stream_appends_segments(spark, tmp_path):
     from leafmill.streaming.append import append_stream, read_index
 
