@@ -1,20 +1,25 @@
 """One consistent form for text that looks the same but differs in its characters.
 
 Width and joined forms are folded, invisible characters dropped, accents
-decomposed and blanks collapsed. Each token's letters are then held against
-look-alikes of other scripts: a letter can be spelled in its own script and in
-every script with a letter drawn alike. The script sets are intersected across
-the token. What remains are the scripts in which the whole token can be
-spelled; the first of them in a fixed order gives the spelling. Where nothing
-remains, the token mixes scripts for good and each letter takes the spelling of
-the first script it has. Both depend only on the looks of the token, so two
-texts that read the same get the same form.
+decomposed and blanks collapsed. Each token is then resolved by script sets. A
+letter has the set of its own script, augmented by the writing systems that use
+it (Han, kana, Hangul and Bopomofo are written together), and the set of every
+script that has a letter drawn alike. The own sets intersected across the token
+tell whether it is mixed; the wider sets intersected tell in which scripts all
+of it could be spelled, which makes it a whole-script confusable or gives the
+consistent spelling of a mixed token. Where nothing remains, each letter takes
+the spelling of the first script it has.
+
+``form`` is the key of comparison: it depends only on the looks, so two texts
+that read the same get the same form. ``consistent`` is the text for reading
+on: only mixed tokens are respelled, clean text of any language stays.
 """
 
 from __future__ import annotations
 
 import sys
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -25,7 +30,14 @@ from pyspark.sql.types import StringType
 from leafmill.session import small, table
 
 #: Order in which a script is preferred for a token that several could spell.
-SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Katakana", "Hiragana", "Han")
+SCRIPTS = (
+    "Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Coptic", "Lisu", "Hebrew", "Arabic", "Tifinagh", "Malayalam",
+    "Myanmar", "Oriya", "Hangul", "Bopomofo", "Katakana", "Hiragana", "Han",
+)
+#: Writing systems that use letters of several scripts.
+AUGMENTED = {
+    "Han": ("Hanb", "Jpan", "Kore"), "Hiragana": ("Jpan",), "Katakana": ("Jpan",), "Hangul": ("Kore",), "Bopomofo": ("Hanb",),
+}
 
 #: Letters drawn alike. First the scripts, then one group a word in their order.
 ALIKE = (
@@ -35,6 +47,14 @@ ALIKE = (
     ("Latin Greek", "AΑ BΒ EΕ ZΖ HΗ IΙ KΚ MΜ NΝ OΟ PΡ TΤ YΥ XΧ CϹ FϜ JͿ"),
     ("Latin Armenian", "oօ nո uս hհ gց qզ OՕ UՍ SՏ LԼ"),
     ("Latin Cherokee", "DᎠ RᎡ TᎢ AᎪ JᎫ EᎬ WᎳ MᎷ HᎻ GᏀ ZᏃ VᏙ SᏚ LᏞ CᏟ PᏢ KᏦ"),
+    ("Latin Coptic", "oⲟ pⲣ cⲥ xⲭ OⲞ PⲢ CⲤ KⲔ MⲘ NⲚ TⲦ HⲎ IⲒ XⲬ"),
+    ("Latin Lisu", "Aꓮ Bꓐ Cꓚ Dꓓ Eꓰ Fꓝ Gꓖ Hꓧ Iꓲ Jꓙ Kꓗ Lꓡ Mꓟ Nꓠ Oꓳ Pꓑ Rꓣ Sꓢ Tꓔ Uꓴ Vꓦ Wꓪ Xꓫ Yꓬ Zꓜ"),
+    ("Latin Hebrew", "oס lו vט"),
+    ("Latin Arabic", "oه lا"),
+    ("Latin Tifinagh", "Oⵔ lⵏ"),
+    ("Latin Malayalam", "oഠ"),
+    ("Latin Myanmar", "oဝ"),
+    ("Latin Oriya", "Oଠ"),
     ("Cyrillic Greek", "ГΓ ПΠ ФΦ фφ"),
     ("Katakana Han", "ニ二 カ力 ロ口 エ工 ハ八 タ夕 ト卜 チ千 ノ丿 ー一"),
     ("Katakana Hiragana", "ヘへ"),
@@ -58,9 +78,9 @@ def _classes() -> tuple[dict[str, int], list[dict[str, str]]]:
 
 
 CLASS, SPELL = _classes()
-_TOKEN = regex.compile(
-    r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{Armenian}\p{Cherokee}\p{M}]+|[\p{Han}\p{Hiragana}\p{Katakana}\p{M}ー]+"
-)
+_EAST = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Bopomofo}ー"
+_WEST = "".join(rf"\p{{{s}}}" for s in SCRIPTS[:13])
+_TOKEN = regex.compile(rf"[{_WEST}\p{{M}}]+|[{_EAST}\p{{M}}]+")
 _ODD = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{Armenian}\p{Cherokee}" + "".join(c for c in CLASS if c > "\x7f") + "]")
 _UNSEEN = regex.compile(r"[[\p{DI}\p{Cf}\p{Cc}]--[\p{Prepended_Concatenation_Mark}\s\x1c-\x1f]]+", regex.V1)
 _OF_SCRIPT = {s: regex.compile(rf"\p{{Script={s}}}") for s in SCRIPTS}
@@ -86,25 +106,78 @@ FOLDS = _folds()
 _VOICED = regex.compile(r"(?<=[\p{Hiragana}\p{Katakana}])[゛゜]")
 
 
+@lru_cache(maxsize=100_000)
+def own_scripts(letter: str) -> frozenset[str]:
+    """Script of a letter and the writing systems that use it; empty for marks and other characters."""
+    if unicodedata.category(letter)[0] == "M":
+        return frozenset()
+    own = next((s for s, p in _OF_SCRIPT.items() if p.match(letter)), "Katakana" if letter == "ー" else None)
+    return frozenset((own, *AUGMENTED.get(own, ()))) if own else frozenset()
+
+
+@lru_cache(maxsize=100_000)
 def scripts_of(letter: str) -> frozenset[str]:
-    """Scripts in which a letter has a spelling; empty for marks and other characters."""
+    """Scripts and writing systems in which a letter has a spelling."""
     k = CLASS.get(letter)
-    if k is not None:
-        return frozenset(SPELL[k])
-    return frozenset(s for s, p in _OF_SCRIPT.items() if p.match(letter))
+    if k is None:
+        return own_scripts(letter)
+    return frozenset(x for s in SPELL[k] for x in (s, *AUGMENTED.get(s, ())))
 
 
+def resolved(token: str) -> tuple[frozenset | None, frozenset | None]:
+    """Script sets of a token, intersected over its letters: as it stands, and with look-alikes; None without letters."""
+    own = could = None
+    for c in token:
+        mine = own_scripts(c)
+        if mine:
+            own = mine if own is None else own & mine
+            could = scripts_of(c) if could is None else could & scripts_of(c)
+    return own, could
+
+
+#: Classes of ideographs that are numbers, and of the long mark, which no word begins with.
+_NUMBERS = {CLASS[c] for c in "二八千一"}
+_LONG = CLASS["ー"]
+
+
+def _kana(token: str, at: int, near: list[str | None]) -> bool:
+    """True if the ambiguous letter at ``at`` reads as Katakana, by the letters around it that can be one script only."""
+    left = next((x for x in reversed(near[:at]) if x), None)
+    right = next((x for x in near[at + 1 :] if x), None)
+    k = CLASS[token[at]]
+    if k == _LONG and at == 0:
+        return False
+    if left is None and right is None:
+        classes = [CLASS[c] for c in token if c in CLASS]
+        return len(classes) > 1 and CLASS[token[0]] != _LONG and not _NUMBERS.issuperset(classes)
+    if "Katakana" not in (left, right):
+        return False
+    if left == "Katakana" and right == "Han" and k in _NUMBERS and k != _LONG:
+        return False
+    return left in ("Katakana", None) or right == "Katakana" and k != _LONG
+
+
+def _spell_east(token: str) -> str:
+    """Ambiguous letters of a token in kana, Han and Hangul, which are written together, spelled by their neighbours."""
+    near = [None if c in CLASS else next((s for s in SCRIPTS if s in own_scripts(c)), None) for c in token]
+    out = []
+    for at, c in enumerate(token):
+        if c in CLASS:
+            ways = SPELL[CLASS[c]]
+            c = ways["Katakana"] if _kana(token, at, near) else ways.get("Han") or ways["Hiragana"]
+        out.append(c)
+    return "".join(out)
+
+
+@lru_cache(maxsize=100_000)
 def _spell(token: str) -> str:
-    """The token in the one script that can spell all of it, else letter by letter."""
+    """The token in the one script that can spell all of it, else letter by letter; depends on its looks only."""
     if token.isascii():
         return token
-    left = None
-    for c in token:
-        if unicodedata.category(c)[0] != "M":
-            mine = scripts_of(c)
-            if mine:
-                left = mine if left is None else left & mine
-    pick = next((s for s in SCRIPTS if left and s in left), None)
+    _, could = resolved(token)
+    if could and not could.isdisjoint(("Jpan", "Hanb", "Kore")):
+        return _spell_east(token)
+    pick = next((s for s in SCRIPTS if could and s in could), None)
     out = []
     for c in token:
         k = CLASS.get(c)
@@ -115,8 +188,21 @@ def _spell(token: str) -> str:
     return "".join(out)
 
 
-def _prepared(text: str) -> str:
-    text = _UNSEEN.sub("", text.translate(FOLDS))
+def _kind(token: str) -> str:
+    """``mixed`` if a token joins scripts it needn't, ``whole`` if a token of one script could be another's, else ``plain``."""
+    own, could = resolved(token)
+    if own is not None and not own and could:
+        return "mixed"
+    return "whole" if own and could and own != could and "Latin" not in own and not token.isascii() else "plain"
+
+
+#: As FOLDS, without the full-width marks that belong to texts in Han, kana and Hangul.
+_FOLDS_EAST = {k: v for k, v in FOLDS.items() if not 0xFF01 <= k <= 0xFF5E or v.isalnum()}
+_IS_EAST = regex.compile(rf"[{_EAST}]")
+
+
+def _prepared(text: str, folds: dict[int, str] = FOLDS) -> str:
+    text = _UNSEEN.sub("", text.translate(folds))
     text = _VOICED.sub(lambda m: "゙" if m[0] == "゛" else "゚", text)
     return unicodedata.normalize("NFD", text)
 
@@ -138,25 +224,26 @@ def form(text: str | None) -> str | None:
     return " ".join(text.split())
 
 
-def tangle(text: str | None) -> str:
-    """``mixed`` if a token joins scripts it needn't, ``whole`` if a token of one script could be another's, else ``plain``.
+def consistent(text: str | None) -> str | None:
+    """A text in one form for reading on: width, joined forms, blanks and accents normalised, mixed tokens respelled.
 
-    A token is mixed if its letters share no script as they stand, but do so
-    with their look-alikes.
+    A token of one writing system stays as it is, whatever it could be mistaken
+    for. Null stays null.
     """
-    seen = "plain"
-    for m in _TOKEN.finditer(_prepared(text or "")):
-        own = could = None
-        for c in m[0]:
-            real = frozenset(s for s, p in _OF_SCRIPT.items() if p.match(c))
-            if real:
-                own = real if own is None else own & real
-                could = scripts_of(c) if could is None else could & scripts_of(c)
-        if own is not None and not own and could:
-            return "mixed"
-        if own and could and own != could and "Latin" not in own:
-            seen = "whole"
-    return seen
+    if text is None:
+        return None
+    if text.isascii():
+        return " ".join(_UNSEEN.sub("", text).split())
+    text = _prepared(text, _FOLDS_EAST if _IS_EAST.search(text) else FOLDS)
+    if _ODD.search(text):
+        text = _TOKEN.sub(lambda m: _spell(m[0]) if _kind(m[0]) == "mixed" else m[0], text)
+    return unicodedata.normalize("NFC", " ".join(text.split()))
+
+
+def tangle(text: str | None) -> str:
+    """``mixed`` if some token joins scripts it needn't, ``whole`` if one could be of another script, else ``plain``."""
+    kinds = {_kind(m[0]) for m in _TOKEN.finditer(_prepared(text or ""))}
+    return next((k for k in ("mixed", "whole") if k in kinds), "plain")
 
 
 @F.pandas_udf(StringType())
@@ -165,6 +252,12 @@ def form_udf(text: pd.Series) -> pd.Series:
     return text.map(form, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def consistent_udf(text: pd.Series) -> pd.Series:
+    """``consistent`` as a column function."""
+    return text.map(consistent, na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def tangle_udf(text: pd.Series) -> pd.Series:
     """``tangle`` as a column function; null counts as plain."""
@@ -199,3 +292,9 @@ def p1_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, form, tangle) of every query with a form."""
     q = table(spark, sf_dir, "queries", "query_id", "q").distinct()
     return q.select("query_id", form_udf("q").alias("form"), tangle_udf("q").alias("tangle")).where("form <> ''")
+
+
+def p1_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seg, doc_id, sent_id, sent, clean) of every stored sentence that isn't in consistent form."""
+    s = table(spark, sf_dir, "sents", "seg", "doc_id", "sent_id", "sent").where("sent is not null").distinct()
+    return s.withColumn("clean", consistent_udf("sent")).where("clean <> sent")

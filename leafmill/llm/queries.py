@@ -7,6 +7,7 @@ from leafmill.llm import boilerplate, encoding, frequency, leakage, lookalike, m
 QUERIES = {
     "p1_found": lookalike.p1_found,
     "p1_spellings": lookalike.p1_spellings,
+    "p1_consistent": lookalike.p1_consistent,
     "p2_found": sentences.p2_found,
     "p3_found": boilerplate.p3_found,
     "p5_found": markup.p5_found,

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm.lookalike import form, read_alike, scripts_of, tangle
+from leafmill.llm.lookalike import consistent, form, read_alike, scripts_of, tangle
 
 SAME = [
     ("ｶﾞｲﾄﾞ", "ガイド"), ("Ｔｈｅ　cat", "The cat"), ("ﬁn", "fin"), ("e\u0301té", "été"), ("か\u3099", "が"), ("か゛", "が"),
@@ -24,13 +24,37 @@ def test_other(a, b):
 def test_edges():
     assert form(None) is None and form("") == form(" \u200b ") == "" and form("x" * 10**6) == "x" * 10**6
     assert form(form("закpыл Τhe ﬁ")) == form("закpыл Τhe ﬁ")
-    assert scripts_of("o") >= {"Latin", "Cyrillic", "Greek"} and scripts_of("ж") == {"Cyrillic"}
+    assert scripts_of("o") >= {"Latin", "Cyrillic", "Greek"} and scripts_of("ж") == {"Cyrillic"} and "Jpan" in scripts_of("二") & scripts_of("つ")
 
 
 def test_the_consistent_script_is_chosen():
     assert form("зaкрыл") == "закрыл" and form("Тhey") == "They"
 
 
+CLEAN = [
+    "一つ", "二人は", "力がある", "口に", "二人", "カタカナ", "ローカル", "ヘリ", "学校へ行く", "センター前", "二千", "カニ", "ハエ", "工場と八百屋", "トラック二台",
+    "слово сор", "The cat sat", "Λόγος και ρυθμός", "שלום סוס", "سلام هو", "한국어 漢字", "ニュース", "größer", "Ноев ковчег", "一", "夕べ", "索引和车站！",
+]
+
+
+@pytest.mark.parametrize("text", CLEAN)
+def test_clean_text_stays(text):
+    assert consistent(text) == text
+
+
+@pytest.mark.parametrize("text", CLEAN[:15] + CLEAN[16:17] + CLEAN[20:23])
+def test_the_key_of_clean_text_reads_as_it_stands(text):
+    import unicodedata
+
+    assert unicodedata.normalize("NFC", form(text)) == text
+
+
+def test_mixed_tokens_are_respelled():
+    assert consistent("Τhe сat ｶﾞｲﾄﾞ cafe\u0301\u200b") == "The cat ガイド café" and consistent("закpыл") == "закрыл"
+    assert consistent(None) is None and consistent("") == consistent(" \u200b") == ""
+    assert form("ꓐOOꓗ") == form("BOOK") and form("ⲥⲟp") == form("cop")
+
+
 def test_tangle():
     assert [tangle(x) for x in ("закpыл", "сор", "cop", None, "Tokyo東京")] == ["mixed", "whole", "plain", "plain", "plain"]
 
