@@ -1,16 +1,16 @@
 """How often every distinct term occurs, and in how many records.
 
-A global integer dictionary numbers the distinct terms in term order. Records
-are dealt into blocks; within a block, a term's occurrences and the records it
-is present in are counted first. The counts are then encoded with the
-dictionary and laid into arrays over identifier ranges, which are summed range
-by range.
+A global integer dictionary numbers the distinct terms in term order, and the
+rows are encoded with it, so that only numbers are moved from then on. Each
+block of encoded rows accumulates two arrays over identifier ranges, one for
+occurrences and one for the records a term is present in. The arrays are
+summed range by range.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,43 +44,58 @@ def dictionary(terms: DataFrame) -> DataFrame:
     return part.join(F.broadcast(offsets), "part").select("term", (F.col("start") + F.col("k")).alias("id"))
 
 
-def block_counts(rows: DataFrame, term: str, record: list[str], blocks: int) -> DataFrame:
-    """(block, term, occ, recs) of distinct ``rows``.
+def encoded(rows: DataFrame, term: str, terms: DataFrame) -> DataFrame:
+    """``rows`` with ``id`` in place of the term. A dictionary that measures small is broadcast; else both sides
+    are joined by term, where adaptive execution splits a term that holds very many rows."""
+    return rows.withColumnRenamed(term, "term").join(small(terms), "term").drop("term")
 
-    A record's rows meet in one partition, where repeated rows go; each
-    record counts once for a term. A term that is in nearly all records costs
-    one row per block afterwards, however many rows it held.
+
+def presence(rows: DataFrame, record: list[str]) -> DataFrame:
+    """(id, n): for each term and record it is present in, its occurrences there, repeated rows counted once.
+
+    Rows meet by term and record together, so neither a term nor a record that
+    holds a third of all rows meets in one task; it is one shuffle of numbers.
     """
-    here = rows.repartition(*record).dropDuplicates()
-    per = here.groupBy(*record, F.col(term).alias("term")).agg(F.count("*").alias("n"))
-    block = F.pmod(F.xxhash64(*record), F.lit(blocks)).cast("int")
-    return per.groupBy(block.alias("block"), "term").agg(F.sum("n").alias("occ"), F.count("*").alias("recs"))
+    here = rows.repartition("id", *record).dropDuplicates()
+    return here.groupBy("id", *record).agg(F.count("*").alias("n")).select("id", "n")
 
 
-def _lay(batches):
-    """Counts of encoded terms as arrays over identifier ranges."""
-    held: dict[int, np.ndarray] = {}
+def _arrays(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """Arrays of a block, by range: places that aren't zero, with their counts."""
+    at, occ, recs = [], [], []
+    for a in held.values():
+        used = np.flatnonzero(a[1])
+        at.append(used.astype(np.int32))
+        occ.append(a[0][used])
+        recs.append(a[1][used])
+    ranges = pa.array(list(held), pa.int64())
+    out = pa.RecordBatch.from_arrays([ranges, _lists(at, pa.int32()), _lists(occ, pa.int64()), _lists(recs, pa.int64())], names=["range", "at", "occ", "recs"])
+    held.clear()
+    return out
 
-    def out():
-        keys = sorted(held)
-        df = pd.DataFrame({"range": keys, "occ": [held[k][0] for k in keys], "recs": [held[k][1] for k in keys]})
-        held.clear()
-        return df
 
+def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else [], kind))
+
+
+def _lay(batches):
+    """Arrays of occurrences and record presence of a block of (id, n) rows."""
+    held: dict[int, np.ndarray] = {}
     for b in batches:
-        ids = b["id"].to_numpy(np.int64)
+        ids, n = b.column(0).to_numpy(), b.column(1).to_numpy()
         rng, at = ids // RANGE, ids % RANGE
-        for k in np.unique(rng):
+        for k in np.unique(rng).tolist():
             mine = rng == k
             a = held.get(k)
             if a is None:
                 if len(held) >= HELD:
-                    yield out()
+                    yield _arrays(held)
                 a = held[k] = np.zeros((2, RANGE), np.int64)
-            np.add.at(a[0], at[mine], b["occ"].to_numpy(np.int64)[mine])
-            np.add.at(a[1], at[mine], b["recs"].to_numpy(np.int64)[mine])
+            np.add.at(a[0], at[mine], n[mine])
+            np.add.at(a[1], at[mine], 1)
     if held:
-        yield out()
+        yield _arrays(held)
 
 
 def _sum(batches):
@@ -89,22 +104,34 @@ def _sum(batches):
 
     def out():
         used = np.flatnonzero(total[1])
-        return pd.DataFrame({"id": key * RANGE + used, "occ": total[0][used], "recs": total[1][used]})
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key * RANGE + used), pa.array(total[0][used]), pa.array(total[1][used])], names=["id", "occ", "recs"]
+        )
 
     for b in batches:
-        for k, occ, recs in zip(b["range"], b["occ"], b["recs"]):
+        ends = b.column(1).offsets.to_numpy()
+        at, occ, recs = (b.column(i).values.to_numpy() for i in (1, 2, 3))
+        for i, k in enumerate(b.column(0).to_pylist()):
             if k != key:
                 if key is not None:
                     yield out()
                 key, total = k, np.zeros((2, RANGE), np.int64)
-            total[0] += occ
-            total[1] += recs
+            mine = slice(ends[i], ends[i + 1])
+            total[0][at[mine]] += occ[mine]
+            total[1][at[mine]] += recs[mine]
     if key is not None:
         yield out()
 
 
-def term_frequency(rows: DataFrame, term: str, record: list[str]) -> DataFrame:
-    """(term, occurrences, records) for every term of ``rows``.
+def id_frequency(rows: DataFrame, record: list[str]) -> DataFrame:
+    """(id, occurrences, records) of encoded rows, by arrays over identifier ranges."""
+    laid = presence(rows, record).mapInArrow(_lay, "range bigint, at array<int>, occ array<bigint>, recs array<bigint>")
+    summed = laid.repartition("range").sortWithinPartitions("range").mapInArrow(_sum, "id bigint, occ bigint, recs bigint")
+    return summed.select("id", F.col("occ").alias("occurrences"), F.col("recs").alias("records"))
+
+
+def term_frequency(rows: DataFrame, term: str, record: list[str], keep=None) -> DataFrame:
+    """(term, occurrences, records) for every term of ``rows``; ``keep`` may take rows out before they get their term back.
 
     ``rows`` is taken as a set: repeated rows count once. Null and empty terms
     are no terms. Columns of ``rows`` other than ``term`` and ``record`` tell
@@ -112,21 +139,11 @@ def term_frequency(rows: DataFrame, term: str, record: list[str]) -> DataFrame:
     alone; the number of blocks and ranges changes only the work.
     """
     rows = rows.where(F.col(term).isNotNull() & (F.col(term) != ""))
-    blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = cut(block_counts(rows, term, record, blocks))
-    terms = dictionary(counts.select("term").distinct())
-    laid = (
-        counts.join(terms, "term")
-        .select("id", "occ", "recs")
-        .repartitionByRange("id")
-        .mapInPandas(_lay, "range bigint, occ array<bigint>, recs array<bigint>")
-    )
-    summed = (
-        laid.repartition("range").sortWithinPartitions("range").mapInPandas(_sum, "id bigint, occ bigint, recs bigint")
-    )
-    return summed.join(terms, "id").select(
-        "term", F.col("occ").alias("occurrences"), F.col("recs").alias("records")
-    )
+    terms = dictionary(rows.select(F.col(term).alias("term")).distinct())
+    counts = id_frequency(encoded(rows, term, terms), record)
+    if keep is not None:
+        counts = keep(counts)
+    return counts.join(terms, "id").select("term", *[c for c in counts.columns if c != "id"])
 
 
 def mark(frequency: DataFrame, total: int, rare: int = 1, common: tuple[int, int] = (1, 5)) -> DataFrame:
@@ -173,4 +190,5 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         published(table(spark, sf_dir, "segments")), "seg", "left_semi"
     )
     total = docs.distinct().count()
-    return mark(p7_frequency(spark, sf_dir), total).where("mark is not null").select("term", "mark")
+    marked = lambda counts: mark(counts, total).where("mark is not null")
+    return term_frequency(_published_postings(spark, sf_dir), "term", ["doc"], marked).select("term", "mark")
