@@ -5,8 +5,10 @@ order, stands in it with at most a tenth of its words changed, added or
 missing. Any such passage shares a known number of five-word shingles with the
 document. So of an item's shingles, ordered by rarity in the corpus, all but
 that many less one make up a prefix of which the document must share one:
-documents and items are joined on prefix shingles only. Candidates pass bounds
-of length and position, and are verified on item-sized windows.
+documents and items are joined on prefix shingles only. A pair must then pass
+bounds of length and of position: enough shared shingles must lie on nearly the
+same diagonal, as edits shift what follows them by at most their number. What
+passes is verified on item-sized windows of the text.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from leafmill.session import cut, small, table
 
 #: Words of a shingle, least share of the item, greatest share of the passage that may differ.
 SIZE, PART, EDITS = 5, 0.5, 0.1
+#: Most bits of the filter that documents' shingles pass before they are joined; more items make it less selective only.
+BLOOM_BITS = 1 << 27
 
 
 def least_words(n: int) -> int:
@@ -94,7 +98,7 @@ def _aligned(item: list, window: list) -> bool:
 
 
 def _items(benchmark: DataFrame, size: int) -> DataFrame:
-    """(item, h, need, n): distinct shingles of distinct item texts, for each text its smallest item_id.
+    """(item, h, at, need, n, k): shingles of distinct item texts by place, for each text its smallest item_id.
 
     Items of fewer words than a shingle use shingles of their least passage's
     length, which is told by ``k``.
@@ -102,42 +106,108 @@ def _items(benchmark: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = []
+            out = [pd.DataFrame({c: [] for c in ("item", "h", "at", "need", "n", "k")})]
             for item, text in zip(b["item"], b["text"]):
                 tokens = words(text)
                 if not tokens:
                     continue
                 k = min(size, least_words(len(tokens)))
-                hs = np.unique(shingles(word_ids(tokens), k))
-                need = least_shared(len(tokens), len(hs), k)
-                out.append(pd.DataFrame({"item": item, "h": hs, "need": need, "n": len(tokens), "k": k}))
-            yield pd.concat(out) if out else pd.DataFrame({"item": [], "h": [], "need": [], "n": [], "k": []})
+                hs = shingles(word_ids(tokens), k)
+                need = least_shared(len(tokens), len(np.unique(hs)), k)
+                out.append(pd.DataFrame({"item": item, "h": hs, "at": np.arange(len(hs)), "need": need, "n": len(tokens), "k": k}))
+            yield pd.concat(out[1:] or out)
 
     texts = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item"))
-    return texts.mapInPandas(run, "item bigint, h bigint, need int, n int, k int")
+    return texts.mapInPandas(run, "item bigint, h bigint, at int, need int, n int, k int")
 
 
-def _doc_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """(doc_id, n_words, h): shingle hashes of each document, of every size that items use."""
+def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(h.view(np.uint64) >> np.uint64(s)) & np.uint64(bits - 1) for s in (0, 12, 24, 36)]
+
+
+def bloom(hashes: DataFrame, most: int = BLOOM_BITS) -> np.ndarray:
+    """Words of a Bloom filter of a column ``h``, of at most ``most`` bits, set side by side and joined by bit."""
+    rows = hashes.select("h").distinct()
+    bits = max(1024, min(most, 1 << (16 * rows.count()).bit_length()))
+    places = F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(F.lit(bits - 1)) for s in (0, 12, 24, 36)])
+    each = rows.select(F.explode(places).alias("p")).select(
+        F.shiftright("p", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit")
+    )
+    out = np.zeros(bits // 64, np.uint64)
+    for word, value in each.groupBy("word").agg(F.bit_or("bit")).toLocalIterator():
+        out[word] = np.uint64(value & 0xFFFFFFFFFFFFFFFF)
+    return out
+
+
+def passes(h: np.ndarray, filter_: np.ndarray) -> np.ndarray:
+    """True for the hashes that a filter may hold."""
+    ok = np.ones(len(h), bool)
+    for p in _places(h, len(filter_) * 64):
+        ok &= (filter_[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    return ok
+
+
+def _hits(docs: DataFrame, sizes: list[int], filter_: np.ndarray) -> DataFrame:
+    """(doc_id, n_words, hs, ats): of each document the shingles that the filter lets pass, with their places."""
+    shared = docs.sparkSession.sparkContext.broadcast(filter_)
+
+    def lists(parts, kind):
+        ends = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts) if parts else [], kind))
 
     def run(batches):
         for b in batches:
             for part in (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
-                flat, ends, counts = [], [0], []
-                for text in part.column(1).to_pylist():
+                keep, hs, ats, counts = [], [], [], []
+                for row, text in enumerate(part.column(1).to_pylist()):
                     ids = word_ids(words(text))
-                    h = np.unique(np.concatenate([shingles(ids, k) for k in sizes]))
-                    flat.append(h)
-                    ends.append(ends[-1] + len(h))
-                    counts.append(len(ids))
-                lists = pa.ListArray.from_arrays(
-                    pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int64())
-                )
+                    found = [(h, np.flatnonzero(passes(h, shared.value))) for h in (shingles(ids, k) for k in sizes)]
+                    if any(len(at) for _, at in found):
+                        keep.append(row)
+                        hs.append(np.concatenate([h[at] for h, at in found]))
+                        ats.append(np.concatenate([at for _, at in found]))
+                        counts.append(len(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts, pa.int32()), lists], names=["doc_id", "n_words", "hs"]
-                )
+                    [part.column(0).take(pa.array(keep, pa.int64())), pa.array(counts, pa.int32()), lists(hs, pa.int64()), lists(ats, pa.int32())],
+                    names=["doc_id", "n_words", "hs", "ats"],
+                )
+
+    return docs.mapInArrow(run, "doc_id bigint, n_words int, hs array<bigint>, ats array<int>")
 
-    return docs.mapInArrow(run, "doc_id bigint, n_words int, hs array<bigint>")
+
+def on_a_diagonal(item: dict[int, list[int]], need: int, n: int, hs, ats) -> bool:
+    """True if ``need`` distinct shingles of an item lie within as many diagonals as it may have edits, plus one.
+
+    A shingle at place j of the document and i of the item lies on diagonal
+    j - i; every word added or missing shifts what follows by one.
+    """
+    points = sorted((j - i, h) for h, j in zip(hs, ats) for i in item.get(h, ()))
+    if len(points) < need:
+        return False
+    wide, held, left = int(n * EDITS), {}, 0
+    for d, h in points:
+        held[h] = held.get(h, 0) + 1
+        while points[left][0] < d - wide:
+            old = points[left][1]
+            held[old] -= 1
+            if not held[old]:
+                del held[old]
+            left += 1
+        if len(held) >= need:
+            return True
+    return False
+
+
+def _positional(batches):
+    """Pairs with the shingles of both sides: those that pass the bound of position."""
+    for b in batches:
+        ok = []
+        for ih, iat, need, n, hs, ats in zip(b["ih"], b["iat"], b["need"], b["n"], b["hs"], b["ats"]):
+            item: dict[int, list[int]] = {}
+            for h, i in zip(ih.tolist(), iat.tolist()):
+                item.setdefault(h, []).append(i)
+            ok.append(on_a_diagonal(item, need, n, hs.tolist(), ats.tolist()))
+        yield b.loc[ok, ["doc_id", "item"]]
 
 
 def leaked(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
@@ -145,47 +215,39 @@ def leaked(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Data
 
     Null, empty and wordless texts hold nothing and are held by nothing. Items
     with equal texts are all listed. Repeated rows count once; a doc_id of
-    several texts is held if one of them holds. Frequent shingles take no part
-    in the join as long as an item has rarer ones, so no shingle that a third
-    of the documents share brings its pairs along.
+    several texts is held if one of them holds. Documents' shingles pass a
+    Bloom filter of the items' where they are made, so only likely ones are
+    moved. Pairs come from prefix shingles alone and are made distinct before
+    anything else is joined to them, one row per pair from then on. A shingle
+    that a third of the documents hold takes part only where an item has no
+    rarer ones; the items' side is broadcast if it measures small, and
+    otherwise adaptive execution splits such a shingle's rows.
     """
     docs = documents.select("doc_id", "text").where(F.length("text") > 0)
     items = benchmark.select("item_id", "text").distinct()
     known = cut(_items(items, size))
     sizes = sorted({r[0] for r in known.select("k").distinct().collect()}) or [size]
-    wanted = known.select("h").distinct()
-    hits = (
-        _doc_shingles(docs, sizes)
-        .select("doc_id", "n_words", F.explode("hs").alias("h"))
-        .join(small(wanted), "h", "left_semi")
-    )
-    hits = cut(hits)
-    rarity = hits.groupBy("h").agg(F.count("*").alias("df"))
-    ordered = known.join(rarity, "h", "left").fillna(0, ["df"])
-    by_rarity = Window.partitionBy("item").orderBy("df", "h")
-    ordered = ordered.withColumn("rank", F.row_number().over(by_rarity)).withColumn(
-        "distinct", F.count("*").over(Window.partitionBy("item"))
-    )
+    hits = cut(_hits(docs, sizes, bloom(known)))
+    each = hits.select("doc_id", "n_words", F.explode(F.array_distinct("hs")).alias("h"))
+    rarity = each.groupBy("h").agg(F.count("*").alias("df"))
+    ordered = known.select("item", "h", "need", "n").distinct().join(rarity, "h", "left").fillna(0, ["df"])
+    ordered = ordered.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy("df", "h")))
+    ordered = ordered.withColumn("distinct", F.count("*").over(Window.partitionBy("item")))
     prefix = ordered.where("rank <= distinct - need + 1").select("item", "h", "n")
     pairs = (
-        hits.join(small(prefix), "h")
+        each.join(small(prefix), "h")
         .where(F.col("n_words") >= F.ceil((1 - EDITS) * F.ceil(PART * F.col("n"))) - 1)
         .select("doc_id", "item")
         .distinct()
     )
-    # All shared shingles of a candidate, not only the prefix, must reach the bound.
-    enough = (
-        hits.join(small(known.select("item", "h", "need")), "h")
-        .join(pairs, ["doc_id", "item"], "left_semi")
-        .groupBy("doc_id", "item")
-        .agg(F.count("*").alias("shared"), F.max("need").alias("need"))
-        .where("shared >= need")
-        .select("doc_id", "item")
-    )
-    enough = cut(enough)
+    pairs = cut(pairs)
+    both = F.sort_array(F.collect_list(F.struct("at", "h")))
+    whole = known.groupBy("item", "need", "n").agg(both.alias("l")).select("item", "need", "n", F.col("l.h").alias("ih"), F.col("l.at").alias("iat"))
+    near = hits.drop("n_words").join(small(pairs), "doc_id").join(small(whole), "item")
+    enough = cut(near.mapInPandas(_positional, "doc_id bigint, item bigint").distinct())
     texts = items.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item"))
     item_texts = texts.select("item", F.col("text").alias("item_text"))
-    todo = docs.join(small(enough.join(small(item_texts), "item")), "doc_id")
+    todo = docs.join(small(enough), "doc_id").join(small(item_texts), "item")
 
     def verify(batches):
         memo: dict[str, list[str]] = {}

@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from leafmill.llm.leakage import contains, leaked, least_shared, least_words
+from leafmill.llm.leakage import bloom, contains, leaked, least_shared, least_words, on_a_diagonal, passes
+from leafmill.llm.words import shingles, word_ids
 from leafmill.llm.words import words
 
 
@@ -60,6 +61,38 @@ def test_bound_is_necessary():
             assert least_shared(n, n - 4) <= max(1, p - 4 - 5 * (p // 10))
 
 
+def test_the_bound_of_position_loses_nothing():
+    rnd, vocab = random.Random(6), vocabulary()
+    for _ in range(300):
+        item = rnd.choices(vocab, k=rnd.randint(12, 60))
+        piece = item[: rnd.randint(least_words(len(item)), len(item))]
+        for _ in range(len(piece) // 10):
+            k = rnd.randrange(len(piece))
+            piece[k : k + 1] = rnd.choice([[rnd.choice(vocab)], [], [piece[k], rnd.choice(vocab)]])
+        doc = rnd.choices(vocab, k=9) + piece + rnd.choices(vocab, k=9)
+        k = min(5, least_words(len(item)))
+        hs, ds = shingles(word_ids(item), k).tolist(), shingles(word_ids(doc), k).tolist()
+        where = {}
+        for i, h in enumerate(hs):
+            where.setdefault(h, []).append(i)
+        need = least_shared(len(item), len(where), k)
+        if contains(item, doc):
+            assert on_a_diagonal(where, need, len(item), ds, range(len(ds)))
+    spread = [x for i in range(0, 40, 5) for x in item[i : i + 5] + rnd.choices(vocab, k=30)]
+    ds = shingles(word_ids(spread), 5).tolist()
+    assert not on_a_diagonal(where, max(need, 3), len(item), ds, range(len(ds)))
+
+
+def test_filter(spark):
+    import numpy as np
+
+    h = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000)
+    f = bloom(spark.createDataFrame([(int(x),) for x in h[:2500]], "h bigint"))
+    assert passes(h[:2500], f).all() and passes(h[2500:], f).mean() < 0.05
+    tiny = bloom(spark.createDataFrame([(int(x),) for x in h[:2500]], "h bigint"), 1024)
+    assert len(tiny) == 16 and passes(h[:2500], tiny).all()
+
+
 def test_words():
     assert words("> The <b>Cat</b>,\n* Ｓａｔ &amp; 図書") == ["the", "cat", "sat", "図", "書"]
     assert words("2024-01-02 03:04:05 INFO One\n12. two") == ["one", "two"] and words(None) == words("...") == []
