@@ -1,32 +1,33 @@
 """Sentences of texts in any language, script and line layout.
 
-Statistics are learned without labels, per language, over all texts: how often
-a token ends in a period and how often not gives, by a log-likelihood ratio, the
-abbreviations; numbers with a period that keep company with the next word give
-collocations; words that are seen in lower case tell sentence starters from
-names. Each period is then classified with these. Marks of other scripts,
-quotations, brackets, lists and blank lines follow rules.
+Statistics are learned without labels of sentences, per language, over all
+texts. Log-likelihood ratios give abbreviations (tokens that keep company with
+a period), collocations (words that follow numbers with a period) and sentence
+starters. Each period is then classified with these, and by how words are
+written elsewhere: a word that stands in lower case inside sentences and in
+upper case after an abbreviation begins one. Marks of other scripts,
+quotations, brackets, lists and blank lines follow rules. The language of a
+paragraph is told by the commonest words of the texts of each label.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter, defaultdict
 from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.session import BROADCAST_BYTES, table
+from leafmill.session import BROADCAST_BYTES, cut, small, table
 
 #: Least score of an abbreviation, least log-likelihood ratios of a collocation and of a sentence starter.
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
-#: Share of an abbreviation's capitalised followers that start sentences for it to end sentences itself.
-FINAL = 0.3
-#: Commonest words by which a paragraph's language is told.
-PROFILE = 60
+#: Least share of an abbreviation's capitalised followers that start sentences for it to end some sentences itself.
+SOMETIMES = 0.3
+#: Commonest words by which a paragraph's language is told, least share of a label's letters in a script for it to be written in it.
+PROFILE, SCRIPT_SHARE = 60, 0.3
 #: Keys a training task counts before it passes them on.
 HELD = 200_000
 
@@ -48,11 +49,8 @@ _PARTICLE = regex.compile(r"\s*(?:と|って|は|が|を|に|の|で|も|へ|や
 _SAYS = regex.compile(r"\s*[^。！？“”「」，；…\n]{0,24}?[说問问道喊叫答]\s*[。！？]")
 _TOKEN = regex.compile(r"\S+")
 _NOT_BLANK = regex.compile(r"\S")
-#: Characters after a mark that are looked at.
-AHEAD = 256
-#: Languages that aren't written in Latin letters; their Latin paragraphs teach nothing about them.
-_OTHER = {"ja", "zh", "ko", "th", "lo", "ru", "uk", "bg", "sr", "ar", "fa", "ur", "hi", "mr", "ne", "el", "he"}
 _STRIP = "“”„«»‹›「」『』()（）[]\"'¿¡*—–-"
+_OPENING = regex.compile(f"[{regex.escape(_STRIP)}]*")
 
 
 def blocks(text: str) -> list[tuple[int, int, bool]]:
@@ -85,7 +83,7 @@ def _type(token: str) -> tuple[str, bool]:
     """(lower-case type without final period, has one); a number's type is ``#``; empty for no word and for codes with digits."""
     token = token.lstrip(_STRIP)
     ends = token.endswith(".") and not token.endswith("..")
-    word = token.rstrip(_STRIP + ",;:!?…、。").rstrip(".").lower()
+    word = token.rstrip(_STRIP + ",;:!?…、。.").lower()
     if word and not word.isalpha() and any(c.isdigit() for c in word):
         # Versions, codes and the like are no abbreviations, however often they end a sentence.
         word = "#" if all(c.isdigit() or c in ".,:-/" for c in word) else ""
@@ -103,21 +101,21 @@ def _first(token: str) -> str:
     return token[:1]
 
 
-_SCRIPT = regex.compile(
-    r"(?P<cyrl>\p{Cyrillic}{3})|(?P<arab>\p{Arabic}{2})|(?P<deva>\p{Devanagari}{2})|(?P<grek>\p{Greek}{3})"
+_SCRIPTS = regex.compile(
+    r"(?P<latn>\p{Latin})|(?P<cyrl>\p{Cyrillic})|(?P<arab>\p{Arabic})|(?P<deva>\p{Devanagari})|(?P<grek>\p{Greek})|(?P<hebr>\p{Hebrew})"
+    rf"|(?P<cjk>[{_CJK}])|(?P<thai>[\p{{Thai}}\p{{Lao}}])|(?P<other>\p{{L}})"
 )
 
 
-def script_language(text: str) -> str | None:
-    """Language key of the first script that one key stands for; None for Latin letters."""
-    m = None if text.isascii() else _SCRIPT.search(text)
+@lru_cache(maxsize=100_000)
+def script_of(word: str) -> str | None:
+    """Name of the script of a word's first letter; None without letters."""
+    m = _SCRIPTS.search(word)
     return m.lastgroup if m else None
 
 
 def _label(said: str | None) -> str:
-    """Language key that a Latin paragraph's label gives; empty if it has none or one of another script."""
-    said = (said or "").strip().lower()
-    return "" if said in _OTHER else said
+    return (said or "").strip().lower()
 
 
 #: Marks after which a sentence may start.
@@ -133,35 +131,38 @@ def _foreign(token: str, latin: bool) -> bool:
     return bool(_CJK_CHAR.search(token) or _UNMARKED.search(token) or latin and _NOT_LATIN.search(token))
 
 
-def _lower(batches, text: str, lang: str):
-    """Counts of words in lower case by the language that paragraphs are labelled with."""
+def _words(batches, text: str, lang: str):
+    """Counts of words not in upper case, and letters of each script, by the label of the texts."""
     held: Counter = Counter()
 
     def out():
         rows = [(*k, n) for k, n in held.items()]
         held.clear()
-        return pd.DataFrame(rows, columns=["lang", "word", "n"])
+        return pd.DataFrame(rows, columns=["lang", "script", "word", "n"])
 
     for batch in batches:
         for body, said in zip(batch[text], batch[lang]):
-            for a, b, _ in blocks(body) if body else ():
-                part = body[a:b]
-                key = script_language(part) or _label(said)
-                if key:
-                    for token in part.split():
-                        word = _type(token)[0]
-                        if word and not _foreign(token, False) and _first_of(token).islower():
-                            held[key, word] += 1
-                if len(held) > HELD:
-                    yield out()
+            key = _label(said)
+            if not body or not key:
+                continue
+            for token, n in Counter(body.split()).items():
+                script = script_of(token)
+                if script is None:
+                    continue
+                held[key, script, ""] += n * len(token)
+                word = _type(token)[0]
+                if word and word != "#" and script not in ("cjk", "thai") and not _first_of(token).isupper():
+                    held[key, script, word] += n
+            if len(held) > HELD:
+                yield out()
     if held:
         yield out()
 
 
 def _count(batches, text: str, lang: str, known: Model):
-    """Counts of events by language: tokens with and without period, cases, followers of short periods.
+    """Counts of events by language: tokens with and without period, cases, followers of periods.
 
-    Latin paragraphs without label are told by the profiles of ``known``; without profiles they share one key.
+    The language of a paragraph is told by the profiles of ``known``; without profiles there is one key a script.
     """
     held: Counter = Counter()
 
@@ -176,13 +177,9 @@ def _count(batches, text: str, lang: str, known: Model):
                 continue
             for a, b, _ in blocks(body):
                 part = body[a:b]
-                key = script_language(part) or _label(said)
                 tokens = part.split()
-                latin = not key
-                types = [("", False) if _foreign(t, latin) else _type(t) for t in tokens]
-                if not any(word for word, _ in types):
-                    continue
-                key = key or known.language(part, None)
+                key, script = known.told(tokens, said)
+                types = [("", False) if _foreign(t, script == "latn") else _type(t) for t in tokens]
                 fresh = True  # at a sentence start, as far as one can tell
                 for k, (token, (word, ends)) in enumerate(zip(tokens, types)):
                     if word:
@@ -196,6 +193,8 @@ def _count(batches, text: str, lang: str, known: Model):
                             held[key, "upper", word, ""] += 1
                         if ends and k + 1 < len(tokens):
                             follower = types[k + 1][0]
+                            if _first_of(tokens[k + 1]).islower():
+                                held[key, "low", word, ""] += 1
                             if follower == "#":
                                 held[key, "number", word, ""] += 1
                             elif follower and _first_of(tokens[k + 1]).isupper():
@@ -218,163 +217,176 @@ def _bare(token: str) -> str:
     return token.strip(_STRIP + ".,;:!?").lower()
 
 
+#: What the model knows of a word in a language.
+KINDS = ("abbreviations", "final", "sometimes", "plain", "starters", "ordinary", "collocations", "numbered", "mixed")
+
+
 class Model:
-    """What was learned by language: abbreviations, final ones, starters, words that go with numbers, profiles."""
+    """What was learned by language: abbreviations, those that end sentences themselves always or sometimes, plain words
+    (after which a period ends a sentence even before a lower-case word), starters, words ordinarily in
+    lower case, collocations of numbers, words that always or sometimes go with a number, profiles and the commonest
+    language of each script. ``pieces`` has (kind, lang, word) where it is too large to be broadcast."""
 
     def __init__(self):
-        self.abbreviations: dict[str, set] = defaultdict(set)
-        self.final: dict[str, set] = defaultdict(set)
-        self.starters: dict[str, set] = defaultdict(set)
-        self.collocations: dict[str, set] = defaultdict(set)
-        self.numbered: dict[str, set] = defaultdict(set)
-        self.mixed: dict[str, set] = defaultdict(set)
-        self.profile: dict[str, set] = defaultdict(set)
+        for kind in (*KINDS, "profile"):
+            setattr(self, kind, defaultdict(set))
+        self.common: dict[str, str] = {}
+        self.pieces: DataFrame | None = None
+        self._index: tuple[dict, dict] | None = None
+
+    def _profiles(self) -> tuple[dict[str, list[str]], dict[str, set]]:
+        """(word -> labels, label -> scripts)."""
+        if self._index is None:
+            labels, scripts = defaultdict(list), defaultdict(set)
+            for label, words in sorted(self.profile.items()):
+                for w in words:
+                    labels[w].append(label)
+                    scripts[label].add(script_of(w))
+            self._index = dict(labels), dict(scripts)
+        return self._index
+
+    def told(self, tokens: list[str], said: str | None) -> tuple[str, str]:
+        """(language key, script) of a paragraph's tokens: the label whose profile most of them are in; on a tie, or if none
+        is, what the text is said to be, then the commonest language of the script."""
+        labels, scripts = self._profiles()
+        said = _label(said)
+        hits: Counter = Counter()
+        for t in tokens:
+            for label in labels.get(_bare(t), ()):
+                hits[label] += 1
+        script = next((x for x in map(script_of, tokens) if x and x not in ("cjk", "thai")), None) or ""
+        if hits:
+            top = max(hits, key=lambda k: (hits[k], k == said, k))
+            return top, script
+        if not scripts:
+            return said or script, script
+        return said if script in scripts.get(said, ()) else self.common.get(script, script), script
 
     def language(self, part: str, said: str | None) -> str:
-        """Language key of a paragraph: by script, else the profile that most words are in."""
-        key = script_language(part)
-        if key:
-            return key
-        said = (said or "").strip().lower()
-        if not self.profile:
-            return said
-        words = [_bare(t) for t in part.split()]
-        best = {k: sum(w in p for w in words) for k, p in self.profile.items()}
-        top = max(best, key=lambda k: (best[k], k == said, k))
-        return said if best.get(said, -1) >= best[top] else top
-
-
-def learn(df: DataFrame, text: str = "doctext", lang: str = "lang") -> Model:
+        """Language key of a paragraph."""
+        return self.told(part.split(), said)[0]
+
+
+def learn(df: DataFrame, text: str = "doctext", lang: str = "lang", limit: int = BROADCAST_BYTES) -> Model:
     """The model of all texts; null texts teach nothing.
 
-    Labelled paragraphs give the profiles by which the language of the others is
-    told; then all are counted.
-    Tokens are counted where the texts are; abbreviations are scored in Spark,
-    and only they, their followers, collocations of numbers and the profiles
-    come to the driver. Their size is measured first; over the broadcast bound
-    it is an error. Abbreviations need a count that grows exponentially with
-    their length, so a larger corpus adds few.
+    Labelled texts give the profiles by which the language of paragraphs is
+    told; then all are counted where they are. Abbreviations, starters and
+    collocations are decided in Spark, and only the accepted ones come to the
+    driver, if they measure under ``limit``; else they stay a table, which
+    ``sentences`` joins with the words it needs them for.
     """
     texts = df.select(text, lang).distinct()
-    labelled = (
-        texts.mapInPandas(lambda b: _lower(b, text, lang), "lang string, word string, n bigint")
-        .groupBy("lang", "word")
-        .agg(F.sum("n").alias("lower"))
-        .withColumn("r", F.row_number().over(_by_count()))
-        .where(F.col("r") <= PROFILE)
-    )
-    known = Model()
-    for r in labelled.collect():
-        # Scripts with one key need no profile to be told.
-        if r["lang"] not in _SCRIPT.groupindex:
-            known.profile[r["lang"]].add(r["word"])
-    counts = (
+    known = _profiles_of(texts, text, lang)
+    counts = cut(
         texts.mapInPandas(lambda b: _count(b, text, lang, known), "lang string, event string, a string, b string, n bigint")
         .groupBy("lang", "event", "a", "b")
         .agg(F.sum("n").alias("n"))
-        .cache()
     )
-    of = lambda e: F.sum(F.when(F.col("event") == e, F.col("n")).otherwise(0))
-    types = counts.where("event not in ('next', 'number')").groupBy("lang", F.col("a").alias("word")).agg(
-        of("dot").alias("dot"), of("no").alias("no"), of("lower").alias("lower"), of("upper").alias("upper"),
-        of("start").alias("start"),
+    of = lambda e: F.sum(F.when(F.col("event") == e, F.col("n")).otherwise(0)).alias(e)
+    types = cut(
+        counts.where("event <> 'next'").groupBy("lang", F.col("a").alias("word")).agg(*map(of, ("dot", "no", "lower", "upper", "start", "number", "low")))
     )
     totals = types.groupBy("lang").agg(
-        F.sum("dot").alias("dots"), F.sum(F.col("dot") + F.col("no")).alias("all"), F.sum("start").alias("starts")
-    )
-    n, k = F.col("dot") + F.col("no"), F.col("dot")
-    p = F.col("dots") / F.col("all")
-    ll = -2 * (k * F.log(p / 0.99) + (n - k) * F.log((1 - p) / 0.01))
+        F.sum("dot").alias("dots"), F.sum(F.col("dot") + F.col("no")).alias("all"), F.sum("start").alias("starts"),
+        F.sum(F.when(F.col("word") == "#", F.col("dot"))).alias("number_dots"),
+        F.sum(F.when(F.col("word") == "#", F.col("dot") + F.col("no"))).alias("numbers"),
+    )
+    types = types.join(small(totals), "lang").withColumn("total", F.col("dot") + F.col("no"))
+    p = F.try_divide("dots", "all")
+    ll = -2 * (F.col("dot") * F.log(p / 0.99) + F.col("no") * F.log((1 - p) / 0.01))
     dots = F.length("word") - F.length(F.regexp_replace("word", r"\.", ""))
     letters = F.length("word") - dots + 1
     score = ll * F.exp(-letters) * (dots + 1) * F.pow(letters, -F.col("no"))
-    scored = types.join(F.broadcast(totals), "lang").where("dot > 0 and word <> '#'").withColumn("score", score)
+    short = types.where("dot > 0 and word <> '#'").where(score >= ABBREVIATION).select("lang", "word")
     # A single letter with a period is an initial or abbreviation whatever its score.
-    short = scored.where(F.col("score") >= ABBREVIATION).select("lang", "word")
-    nexts = counts.where("event = 'next'").select("lang", "a", F.col("b").alias("word"), "n")
-    relevant = nexts.join(short.withColumnRenamed("word", "a"), ["lang", "a"], "left_semi").unionByName(
-        nexts.where((F.length("a") == 1))
+    nexts = counts.where("event = 'next'").select("lang", F.col("a").alias("after"), F.col("b").alias("word"), "n")
+    wanted = short.withColumnRenamed("word", "after")
+    followed = nexts.join(small(wanted), ["lang", "after"], "left_semi").unionByName(nexts.where(F.length("after") == 1)).distinct()
+    followed = cut(
+        followed.join(types, ["lang", "word"]).select("lang", "after", "word", "n", _starts().alias("starts"), _ordinary().alias("ordinary"))
     )
-    ranked = types.where("lower > 0").withColumn(
-        "r", F.row_number().over(_by_count())
-    ).where(F.col("r") <= PROFILE).select("lang", "word")
+    begins = F.col("starts") | F.col("ordinary")
+    final = followed.groupBy("lang", "after").agg(F.sum("n").alias("n"), F.sum(F.when(begins, F.col("n")).otherwise(0)).alias("s"))
+    # Of the starts that follow no abbreviation a share q are such words, the others names. So an abbreviation with s of them among n capitalised
+    # followers ends s / q sentences; it ends one before a name too if more of its names start sentences than don't.
+    begun = types.groupBy("lang").agg(F.sum(F.when(_starts() | _ordinary(), F.col("start")).otherwise(0)).alias("b"), F.sum("start").alias("t"))
+    begun = begun.join(small(final.groupBy("lang").agg(F.sum("n").alias("fn"), F.sum("s").alias("fs"))), "lang")
+    q = begun.select("lang", F.try_divide(F.col("b") - F.col("fs"), F.col("t") - F.col("fn")).alias("q"))
+    final = final.join(small(q), "lang").withColumn("ends", F.when(F.col("q") > 0, F.least(F.col("n"), F.try_divide("s", "q"))).otherwise(0))
+    final = final.where(F.col("ends") >= SOMETIMES * F.col("n"))
+    always = F.when(F.col("ends") * (1 - F.col("q")) >= F.col("n") - F.col("ends"), "final").otherwise("sometimes")
+    after_number = nexts.where("after = '#'").join(types, ["lang", "word"]).where("lower = 0 and n > 1 and n >= 0.2 * total")
+    before_number = types.where("number > 0 and word <> '#' and number >= 0.2 * dot")
+    share = F.col("number") >= 0.5 * F.col("dot")
+    kind = lambda df, k: df.select(F.lit(k).alias("kind") if isinstance(k, str) else k.alias("kind"), "lang", "word").distinct()
+    plain = types.where("low > 0 and word <> '#' and no >= 2 * dot").join(small(short), ["lang", "word"], "left_anti")
     pieces = (
-        short.selectExpr("'abbr' kind", "lang", "word", "'' b", "0L n", "0L lower", "0L upper", "0L total", "0L start")
-        .unionByName(
-            relevant.distinct()
-            .join(types, ["lang", "word"])
-            .selectExpr("'next' kind", "lang", "word", "a b", "n", "lower", "upper", "dot + no total", "start")
-        )
+        kind(short, "abbreviations")
+        .unionByName(kind(plain, "plain"))
+        .unionByName(kind(final.withColumnRenamed("after", "word"), always))
+        .unionByName(kind(followed.where("starts"), "starters"))
+        .unionByName(kind(followed.where("ordinary"), "ordinary"))
+        .unionByName(kind(after_number.where(_more_than("n", "number_dots", F.try_divide("total", "all"))), "collocations"))
         .unionByName(
-            nexts.where("a = '#'")
-            .join(types, ["lang", "word"])
-            .where("lower = 0")
-            .selectExpr("'col' kind", "lang", "word", "a b", "n", "lower", "upper", "dot + no total", "start")
+            kind(before_number.where(_more_than("number", "dot", F.try_divide("numbers", "all"))), F.when(share, "numbered").otherwise("mixed"))
         )
-        .unionByName(
-            counts.where("event = 'number' and a <> '#'")
-            .select("lang", F.col("a").alias("word"), "n")
-            .join(types, ["lang", "word"])
-            .where("n >= 0.2 * dot")
-            .selectExpr("'num' kind", "lang", "word", "'' b", "n", "dot lower", "upper", "0L total", "0L start")
-        )
-        .unionByName(ranked.selectExpr("'top' kind", "lang", "word", "'' b", "0L n", "0L lower", "0L upper", "0L total", "0L start"))
-    ).cache()
-    size = pieces.select(F.sum(F.length("word") + F.length("b") + 48)).first()[0] or 0
-    if size > BROADCAST_BYTES:
-        raise ValueError(f"the sentence model takes {size} bytes, more than {BROADCAST_BYTES}")
-    rows = pieces.collect()
-    sums = {r["lang"]: (r["all"], r["starts"]) for r in totals.collect()}
-    numbers = {r["lang"]: (r["dot"], r["dot"] + r["no"]) for r in types.where("word = '#'").collect()}
-    pieces.unpersist()
-    counts.unpersist()
-    return _assemble(rows, sums, numbers)
+    )
+    pieces = cut(pieces)
+    size = pieces.select(F.sum(F.octet_length("word") + F.octet_length("lang") + 64)).first()[0] or 0
+    if size > limit:
+        known.pieces = pieces
+        return known
+    for r in pieces.collect():
+        getattr(known, r["kind"])[r["lang"]].add(r["word"])
+    return known
+
+
+def _profiles_of(texts: DataFrame, text: str, lang: str) -> Model:
+    """A model with the profiles of the labels alone: a label has one for each script that it is written in."""
+    seen = texts.mapInPandas(lambda b: _words(b, text, lang), "lang string, script string, word string, n bigint")
+    seen = cut(seen.groupBy("lang", "script", "word").agg(F.sum("n").alias("n")))
+    letters = seen.where("word = ''").select("lang", "script", F.col("n").alias("letters"))
+    whole = letters.groupBy("lang").agg(F.sum("letters").alias("whole"))
+    own = letters.join(small(whole), "lang").where(F.col("letters") >= SCRIPT_SHARE * F.col("whole"))
+    place = F.row_number().over(Window.partitionBy("lang", "script").orderBy(F.desc("n"), "word"))
+    top = seen.where("word <> ''").withColumn("place", place).where(F.col("place") <= PROFILE)
+    m = Model()
+    for r in top.join(small(own), ["lang", "script"]).select("lang", "word").collect():
+        m.profile[r["lang"]].add(r["word"])
+    for r in own.groupBy("script").agg(F.max_by("lang", F.struct("letters", "lang")).alias("lang")).collect():
+        m.common[r["script"]] = r["lang"]
+    return m
 
 
-def _by_count():
-    from pyspark.sql import Window
+def _ratio(k: Column, n: Column, p0: Column, p1: Column) -> Column:
+    """-2 log likelihood ratio of k hits in n under p0 against p1."""
+    log = lambda p: k * F.log(F.greatest(p, F.lit(1e-12))) + (n - k) * F.log(F.greatest(1 - p, F.lit(1e-12)))
+    return -2 * (log(p0) - log(p1))
 
-    return Window.partitionBy("lang").orderBy(F.desc("lower"), "word")
 
+def _more_than(k: str, n: str, p: Column) -> Column:
+    """True if k hits in n are more than the share p by a log-likelihood ratio that makes a collocation."""
+    k, n = F.col(k), F.col(n)
+    own = F.try_divide(k, n)
+    return (p > 0) & (p < 1) & (own > p) & (_ratio(k, n, p, own) >= COLLOCATION)
 
-def _starts(r, tokens: int, starts: int) -> bool:
-    """True for a frequent sentence starter that isn't a name: more often at starts than chance, and seen in lower case."""
-    if not r["total"] or 5 * r["lower"] < r["lower"] + r["upper"] or not 0 < starts < tokens:
-        return False
-    p, own = starts / tokens, r["start"] / r["total"]
-    return own > p and _ratio(r["start"], r["total"], p, own) >= STARTER and r["lower"] > 0
 
+def _starts() -> Column:
+    """True for a frequent sentence starter: more often at starts than chance by its log-likelihood ratio, and no name."""
+    p, own = F.try_divide("starts", "all"), F.try_divide("start", "total")
+    more = (p > 0) & (p < 1) & (own > p) & (_ratio(F.col("start"), F.col("total"), p, own) >= STARTER)
+    return F.coalesce(more, F.lit(False)) & (F.col("lower") > 0) & (5 * F.col("lower") >= F.col("lower") + F.col("upper"))
 
-def _assemble(rows, sums, numbers) -> Model:
-    m = Model()
-    starts: Counter = Counter()
-    capital: Counter = Counter()
-    for r in rows:
-        if r["kind"] == "abbr":
-            m.abbreviations[r["lang"]].add(r["word"])
-        elif r["kind"] == "top":
-            m.profile[r["lang"]].add(r["word"])
-        elif r["kind"] == "next":
-            known = r["lower"] >= 2 and r["lower"] >= 0.5 * (r["lower"] + r["upper"])
-            if known or _starts(r, *sums[r["lang"]]):
-                m.starters[r["lang"]].add(r["word"])
-                starts[r["lang"], r["b"]] += r["n"]
-            capital[r["lang"], r["b"]] += r["n"]
-        elif r["kind"] == "col":
-            n, c1 = sums[r["lang"]][0], numbers.get(r["lang"], (0, 0))[0]
-            p = r["total"] / n
-            if c1 and r["n"] / c1 > p and r["n"] > 1 and r["n"] >= 0.2 * r["total"]:
-                if _ratio(r["n"], c1, p, r["n"] / c1) >= COLLOCATION:
-                    m.collocations[r["lang"]].add(r["word"])
-        elif r["kind"] == "num":
-            p = numbers.get(r["lang"], (0, 0))[1] / sums[r["lang"]][0]
-            if 0 < p < 1 and r["n"] > p * r["lower"]:
-                if _ratio(r["n"], r["lower"], p, r["n"] / r["lower"]) >= COLLOCATION:
-                    (m.numbered if r["n"] >= 0.5 * r["lower"] else m.mixed)[r["lang"]].add(r["word"])
-    for key, total in capital.items():
-        if starts[key] >= FINAL * total:
-            m.final[key[0]].add(key[1])
-    return m
+
+def _ordinary() -> Column:
+    """True for a word that is written in lower case inside sentences, so its capital tells a start."""
+    return (F.col("lower") >= 2) & (F.col("lower") >= 0.5 * (F.col("lower") + F.col("upper")))
+
+
+@lru_cache(maxsize=100_000)
+def _bare(token: str) -> str:
+    return token.strip(_STRIP + ".,;:!?").lower()
 
 
 class _Paragraph:
@@ -423,10 +435,15 @@ class _Paragraph:
             k -= 1
         return self.text[k : at + 1]
 
-    def _rest(self, at: int) -> str:
-        """The beginning of what follows after blanks; a decision never needs more."""
+    def _rest(self, at: int) -> int:
+        """Where what follows after blanks begins; -1 if nothing does."""
         m = _NOT_BLANK.search(self.text, at, self.b)
-        return self.text[m.start() : min(self.b, m.start() + AHEAD)] if m else ""
+        return m.start() if m else -1
+
+    def _first_at(self, at: int) -> str:
+        """First character after opening marks from ``at`` on."""
+        end = _OPENING.match(self.text, at, self.b).end()
+        return self.text[end] if end < self.b else ""
 
     def _next(self, at: int) -> str:
         m = _TOKEN.search(self.text, at, self.b)
@@ -443,9 +460,9 @@ class _Paragraph:
         if not nxt:
             return True
         first = _first(nxt)
-        if first.islower() and _first(nxt.lstrip("¿¡")) == first:
-            return False
         word, _ = _type(self._word_before(at))
+        if first.islower() and _first(nxt.lstrip("¿¡")) == first:
+            return word in self.m.plain[self.lang]
         follower, _ = _type(nxt)
         if first.isdigit() and word in self.m.numbered[self.lang]:
             return False
@@ -456,9 +473,14 @@ class _Paragraph:
             return True
         if word in self.m.final[self.lang]:
             return not (first.isdigit() and word in self.m.mixed[self.lang])
-        if first.isdigit() or not first:
+        if first.isdigit():
+            return word in self.m.sometimes[self.lang] and word not in self.m.mixed[self.lang]
+        if not first:
+            return False
+        if len(follower) == 1 and _type(nxt)[1]:
+            # An initial goes on with the name.
             return False
-        return follower in self.m.starters[self.lang]
+        return follower in self.m.starters[self.lang] or follower in self.m.ordinary[self.lang]
 
     def ends(self) -> list[int]:
         """Positions after which a sentence ends."""
@@ -496,10 +518,10 @@ class _Paragraph:
         text = self.text
         here = text[end] if end < self.b else ""
         rest = self._rest(end)
-        if not rest:
+        if rest < 0:
             return True
         spaced = here.isspace()
-        if rest[0] in _COMMAS and not (spaced and rest[0] in "—–-" and _first(rest).isupper()):
+        if text[rest] in _COMMAS and not (spaced and text[rest] in "—–-" and self._first_at(rest).isupper()):
             return False
         if any(c in _HARD for c in marks):
             return True
@@ -508,28 +530,28 @@ class _Paragraph:
         cjk = bool(here) and _CJK_CHAR.match(here) is not None
         before = start > self.a and _CJK_CHAR.match(text[start - 1]) is not None
         if marks.strip(".…") == "" and len(marks) + marks.count("…") * 2 > 1:
-            return (spaced or cjk or before or "…" in marks) and not _first(rest).islower()
+            return (spaced or cjk or before or "…" in marks) and not self._first_at(rest).islower()
         if not spaced:
             return (cjk and before) or (cjk and marks != ".")
         if marks == ".":
             return self.period(start)
-        return not _first(rest).islower()
+        return not self._first_at(rest).islower()
 
     def _after_quote(self, i: int, j: int, inner: int) -> bool:
         """True if a quotation or bracket that closes at ``j``, with an end mark inside, ends the sentence."""
         text = self.text
         rest = self._rest(j + 1)
-        if not rest:
+        if rest < 0:
             return True
         if text[inner] == "." and text[inner - 1] != "." and self.abbreviated(inner):
             return False
-        if rest[0] in _COMMAS + ".!?…．" + _HARD or rest[0] in _CLOSERS:
+        if text[rest] in _COMMAS + ".!?…．" + _HARD or text[rest] in _CLOSERS:
             return False
-        if _first(rest).islower() and rest[0] not in "¿¡":
+        if self._first_at(rest).islower() and text[rest] not in "¿¡":
             return False
-        if text[i] in "「『" and _PARTICLE.match(rest):
+        if text[i] in "「『" and _PARTICLE.match(text, rest, self.b):
             return False
-        if text[i] in "“「『《" and _CJK_CHAR.search(text, i, j) and _SAYS.match(rest):
+        if text[i] in "“「『《" and _CJK_CHAR.search(text, i, j) and _SAYS.match(text, rest, self.b):
             return False
         return True
 
@@ -560,21 +582,53 @@ def split(text: str | None, model: Model, lang: str | None = None) -> list[tuple
     return out
 
 
+def _asked(text: str | None) -> list[str]:
+    """Words that the model may be asked about: those with a period and those that follow one."""
+    out, before = set(), False
+    for token in (text or "").split():
+        # A closing mark may stand between the word and the period's end.
+        word, _ = _type(token)
+        here = "." in token
+        if word and (here or before):
+            out.add(word)
+        if here:
+            out.add(_type(token[: token.rindex(".") + 1])[0])
+        before = here or before and not word
+    return sorted(out - {""})
+
+
 def sentences(df: DataFrame, key: str, text: str, lang: str, model: Model) -> DataFrame:
     """(key, start_pos, end_pos) of every sentence of distinct rows.
 
     Null, empty and blank texts give no rows; a null language is told from the
     text. A model travels with the task; its size was measured by ``learn``.
+    One that is too large stays a table: the words that a text may ask about
+    are joined with it, and each text gets its own small part of the model.
     """
     rows = df.select(key, text, lang).distinct()
     kind = rows.schema[key].dataType.simpleString()
+    pieces, model.pieces = model.pieces, None
     shared = df.sparkSession.sparkContext.broadcast(model)
+    model.pieces = pieces
+    extra = []
+    if pieces is not None:
+        asked = F.udf(_asked, "array<string>")
+        rows = cut(rows.withColumn("_row", F.expr("uuid()")))
+        words = rows.select("_row", F.explode(asked(F.col(text))).alias("word")).join(pieces, "word")
+        parts = words.groupBy("_row").agg(F.collect_list(F.struct("kind", "lang", "word")).alias("_known"))
+        rows, extra = rows.join(parts, "_row", "left").drop("_row"), ["_known"]
 
     def run(batches):
-        m = shared.value
+        whole = shared.value
         for b in batches:
             ids, starts, ends = [], [], []
-            for i, t, said in zip(b[key], b[text], b[lang]):
+            for i, t, said, *part in zip(b[key], b[text], b[lang], *[b[c] for c in extra]):
+                m = whole
+                if extra:
+                    m = Model()
+                    m.profile, m.common, m._index = whole.profile, whole.common, whole._profiles()
+                    for x in part[0] if part[0] is not None else ():
+                        getattr(m, x["kind"])[x["lang"]].add(x["word"])
                 for s, e in split(t, m, said):
                     ids.append(i)
                     starts.append(s)

@@ -111,3 +111,37 @@ def test_whole_paragraph_and_long_words_count(spark):
     text = "The clerk saw sections. 3 and the house saw sections. 4 on the way. " * 40
     got = learn(spark.createDataFrame([(text + "We met the clerk and 5 of them in sections there.", "en")], "doctext string, lang string"))
     assert "sections" in got.numbered["en"] | got.mixed["en"]
+
+
+def test_abbreviations_that_end_sentences_sometimes(spark):
+    """A title before names, at the start of sentences too, isn't ended by being a street elsewhere; initials go on."""
+    texts = []
+    for k in range(60):
+        a, b = ("Varn", "Lund", "Holm", "Berg", "Falk", "Dahl")[k % 6], ("clerk", "house", "garden", "letter")[k % 4]
+        texts.append(f"The {b} was sold by St. {a} on the way! A {b} stood at 7 Main St. The {b} was old, and a {b} fell, as it was old to the {b}. {a} saw it. It was sold to st. {a}.")
+    model = learn(spark.createDataFrame([(t, "en") for t in texts], "doctext string, lang string"))
+    assert cut("St. Varn sold the house. He lived at 7 Main St. The house fell.", model) == ["St. Varn sold the house.", "He lived at 7 Main St.", "The house fell."]
+    assert cut("It fell! K. A. Varn saw it.", model) == ["It fell!", "K. A. Varn saw it."]
+
+
+def test_a_plain_word_ends_a_sentence_before_lower_case(spark):
+    text = "We saw the garden of the clerk. iMark was old. The garden is near. A garden was here, approx. ten of them. It was approx. nine. We saw approx. two. The garden. eBee was new."
+    model = learn(spark.createDataFrame([(text * 20, "en")], "doctext string, lang string"))
+    assert cut("This is a garden. eBee was new.", model) == ["This is a garden.", "eBee was new."]
+    assert cut("It was approx. ten.", model) == ["It was approx. ten."]
+
+
+def test_a_model_too_large_to_broadcast_gives_the_same(spark):
+    docs = table(spark, DATA, "doctexts", "docid", "doctext", "lang")
+    whole, parted = learn(docs), learn(docs, limit=10)
+    assert parted.pieces is not None and not parted.abbreviations
+    rows = lambda m: sorted(map(str, sentences(docs, "docid", "doctext", "lang", m).collect()))
+    assert rows(whole) == rows(parted)
+
+
+def test_languages_of_one_script_are_told_apart(spark):
+    ru, uk = "это было в городе и на реке не так как у нас ", "це було у місті та на річці не так як у нас "
+    rows = [(ru * 30 + "Мы жили на ул. Новой.", "ru"), (uk * 30 + "Ми жили на вул. Новій.", "uk"), ("Как это было у нас", None), ("Як це було та у місті", "ru")]
+    model = learn(spark.createDataFrame(rows, "doctext string, lang string"))
+    assert model.language("это было в городе", None) == "ru" and model.language("це було у місті та", None) == "uk"
+    assert model.language("це було у місті та на річці", "ru") == "uk" and model.language("Слово", None) in ("ru", "uk")
