@@ -24,7 +24,7 @@ from leafmill.session import table
 
 #: Share above which a document is rejected; words, and characters of unspaced scripts, of a phrase.
 LIMIT, WORDS, CHARACTERS = 0.3, 4, 10
-#: Documents on which cost and selectivity of the rules are estimated.
+#: Documents, about, on which cost and selectivity of the rules are estimated, spread over all of them.
 SAMPLE = 400
 
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
@@ -146,11 +146,15 @@ def share(text: str | None, rules=tuple(RULES), limit: float | None = None) -> f
     return folded.share
 
 
-def cascade(docs: DataFrame, text: str, limit: float = LIMIT, sample: int = SAMPLE) -> tuple[str, ...]:
-    """The rules in order of rejections per second on at most ``sample`` documents.
+def cascade(docs: DataFrame, key: str, text: str, limit: float = LIMIT, sample: int = SAMPLE) -> tuple[str, ...]:
+    """The rules in order of rejections per second on about ``sample`` documents, drawn by a hash of ``key`` from all.
 
     Texts stay on the executors; four pairs of numbers a task come back.
     """
+    total = docs.count()
+    if not total:
+        return tuple(RULES)
+    drawn = F.pmod(F.xxhash64(key, F.lit(10)), F.lit(1_000_000)) < max(1, 1_000_000 * sample // total)
 
     def run(batches):
         spent, hits = dict.fromkeys(RULES, 0.0), dict.fromkeys(RULES, 0)
@@ -166,7 +170,7 @@ def cascade(docs: DataFrame, text: str, limit: float = LIMIT, sample: int = SAMP
                     hits[name] += folded.share > limit
         yield pd.DataFrame({"rule": list(RULES), "spent": list(spent.values()), "hits": list(hits.values())})
 
-    got = docs.select(text).limit(sample).mapInPandas(run, "rule string, spent double, hits bigint")
+    got = docs.where(drawn).select(text).mapInPandas(run, "rule string, spent double, hits bigint")
     total = got.groupBy("rule").agg(F.sum("spent").alias("spent"), F.sum("hits").alias("hits")).collect()
     rate = {r["rule"]: (r["hits"] + 0.01) / (r["spent"] + 1e-9) for r in total}
     return tuple(sorted(RULES, key=lambda r: -rate.get(r, 0.0)))
@@ -180,7 +184,7 @@ def repeated(docs: DataFrame, key: str, text: str, limit: float | None = None) -
     """
     rows = docs.select(key, text)
     kind = rows.schema[key].dataType.simpleString()
-    rules = tuple(RULES) if limit is None else cascade(rows, text, limit)
+    rules = tuple(RULES) if limit is None else cascade(rows, key, text, limit)
 
     def run(batches):
         for b in batches:

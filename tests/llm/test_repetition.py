@@ -35,6 +35,6 @@ def test_long_text():
 def test_frame(spark):
     rows = [(1, UNIQUE), (2, "spam words come again " * 9), (2, "spam words come again " * 9), (3, None), (4, ""), (None, "x y z w x y z w")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("share", F.lit("z"))
-    assert set(cascade(df, "text")) == set(RULES)
+    assert set(cascade(df, "doc_id", "text")) == set(RULES)
     assert sorted((r["doc_id"] or 0) for r in repeated(df, "doc_id", "text", LIMIT).collect()) == [0, 2, 2]
     assert repeated(df, "doc_id", "text").count() == 6 and repeated(df.limit(0), "doc_id", "text", LIMIT).count() == 0
