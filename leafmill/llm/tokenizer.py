@@ -23,6 +23,7 @@ from functools import lru_cache
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.session import table
@@ -239,23 +240,39 @@ class Decoder:
 
 
 @lru_cache(maxsize=4)
+def _transducer(name: str) -> Transducer:
+    """The transducer of a vocabulary that the driver shipped, one per worker process."""
+    return transducer(SparkFiles.get(name))
+
+
 def transducer(path: str) -> Transducer:
-    """The transducer of a ``.tiktoken`` file, one per worker process."""
+    """The transducer of a ``.tiktoken`` file."""
     with open(path, "rb") as f:
         return Transducer({base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())})
 
 
+def _shipped(spark: SparkSession, folder: str | None, vocabulary: str) -> str:
+    """Name of a vocabulary file after it was given to the executors, once per context, as they may not have its folder."""
+    path = os.path.join(folder or vocabulary_dir(), f"{vocabulary}.tiktoken")
+    sc = spark.sparkContext
+    sent = sc.__dict__.setdefault("_leafmill_files", set())
+    if path not in sent:
+        sc.addFile(path)
+        sent.add(path)
+    return os.path.basename(path)
+
+
 def encode(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """(key, ids) of every row; null and empty texts get an empty list.
 
     Repeated rows stay; other columns are dropped. Takes no shuffle.
     """
-    path = f"{folder or vocabulary_dir()}/{vocabulary}.tiktoken"
+    name = _shipped(df.sparkSession, folder, vocabulary)
     rows = df.select(key, text)
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches):
-        t = transducer(path)
+        t = _transducer(name)
         for b in batches:
             for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
                 ids = [t.encode(x) for x in part.column(1).to_pylist()]
@@ -268,12 +285,12 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k",
 
 def decode(df: DataFrame, key: str, ids: str, vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """(key, text) of every row's token ids; null for null."""
-    path = f"{folder or vocabulary_dir()}/{vocabulary}.tiktoken"
+    name = _shipped(df.sparkSession, folder, vocabulary)
     rows = df.select(key, ids)
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches):
-        d = Decoder(transducer(path).bytes_of)
+        d = Decoder(_transducer(name).bytes_of)
         for b in batches:
             yield pd.DataFrame({key: b[key], "text": [d.decode(x) for x in b[ids]]})
 
