@@ -107,7 +107,8 @@ def search(index: Index, preds: list[Predicate], *, any_of: bool = False, dedupe
             # Repeated sentences don't matter to what follows, so the table isn't shuffled to remove them.
             sents = index.sents.select("seg", "doc_id", "sent_id", "sent")
             look = reduce(lambda a, b: a | b, [F.col(f"p{i}") for i in needs])
-            found = cand.where(look).join(sents, ["seg", "doc_id", "sent_id"])
+            # Candidates that measure small are broadcast, so the sentence table isn't shuffled.
+            found = sents.join(small(cand.where(look)), ["seg", "doc_id", "sent_id"])
             verified = found.select(
                 "seg", "doc_id", "sent_id",
                 *[(F.col(f"p{i}") & _matches(p) if i in needs else F.lit(False)).alias(f"p{i}") for i, p in enumerate(used)],
@@ -137,7 +138,7 @@ def search(index: Index, preds: list[Predicate], *, any_of: bool = False, dedupe
         ok = ok & ~holds(p)
     anchored = positive and all(id(p) in place for p in positive)
     if hits is not None:
-        docs = docs.join(hits, ["seg", "doc_id"], "inner" if anchored else "left")
+        docs = docs.join(small(hits), ["seg", "doc_id"], "inner" if anchored else "left")
     context = [F.col(f"s{place[id(p)]}") for p in positive if id(p) in place]
     contexts = (
         F.array_sort(F.array_distinct(F.array_compact(F.array(*context)))) if context else F.array().cast("array<int>")

@@ -54,10 +54,13 @@ def remap(docinfo: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def merge(postings: DataFrame, sents: DataFrame, mapping: DataFrame, into: int) -> dict[str, DataFrame]:
-    """Tables of the merged segment; sentences and postings of replaced documents go."""
+    """Tables of the merged segment; sentences and postings of replaced documents go.
+
+    Repeated rows go after the join, so those of replaced documents aren't moved.
+    """
     ids = small(mapping.select("seg", "doc_id", "new_id"))
     move = lambda df, *rest: (
-        df.distinct().join(ids, ["seg", "doc_id"]).select(F.lit(into).alias("seg"), F.col("new_id").alias("doc_id"), *rest)
+        df.join(ids, ["seg", "doc_id"]).select(F.lit(into).alias("seg"), F.col("new_id").alias("doc_id"), *rest).distinct()
     )
     return {
         "docinfo": mapping.select(F.lit(into).alias("seg"), F.col("new_id").alias("doc_id"), "mtime", "loc"),
@@ -66,6 +69,29 @@ def merge(postings: DataFrame, sents: DataFrame, mapping: DataFrame, into: int)
     }
 
 
+def merge_all(postings: DataFrame, sents: DataFrame, docinfo: DataFrame, plan: DataFrame) -> dict[str, DataFrame]:
+    """Tables of all merged segments at once; ``plan`` (seg, into) says which segments make which new one.
+
+    Of each location in a group the newest segment's row, then the greatest
+    doc_id, survives; new ids run from 1 in each group in age order. A null
+    location is dropped. The tables must not repeat rows, as those that this
+    engine writes don't; nothing is then made distinct, and sentences and
+    postings are moved once, or not at all where the survivors measure small.
+    """
+    rows = docinfo.select("seg", "doc_id", "mtime", "loc").where("loc is not null").join(small(plan.select("seg", "into")), "seg")
+    top = rows.groupBy("into", "loc").agg(F.max(F.struct("seg", "doc_id", "mtime")).alias("t")).select("into", "t.seg", "t.doc_id", "t.mtime", "loc")
+    kept = number(top, "into", "seg", "doc_id", "loc", name="n")
+    first = kept.groupBy("into").agg(F.min("n").alias("first"))
+    kept = kept.join(small(first), "into").withColumn("new_id", (F.col("n") - F.col("first") + 1).cast("int"))
+    ids = small(kept.select("seg", "doc_id", "into", "new_id"))
+    move = lambda df, *rest: df.join(ids, ["seg", "doc_id"]).select(F.col("into").alias("seg"), F.col("new_id").alias("doc_id"), *rest)
+    return {
+        "docinfo": kept.select(F.col("into").alias("seg"), F.col("new_id").alias("doc_id"), "mtime", "loc"),
+        "sents": move(sents, "sent_id", "sent"),
+        "postings": move(postings, "kind", "term", "sent_id").select("kind", "term", "seg", "doc_id", "sent_id"),
+    }
+
+
 def merge_groups(rows: list[tuple[int, int, int]], docs: int = MERGE_DOCS, terms: int = MERGE_TERMS) -> list[list[int]]:
     """Groups of segment numbers to merge, from (seg, ndocs, nterms) oldest first.
 

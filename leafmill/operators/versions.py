@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.text import from_hex, hex_id
 from leafmill.operators.numbering import number, with_previous
+from leafmill.operators.search import Index, search
 
 
 def snapshots(rows: DataFrame) -> DataFrame:
@@ -92,6 +93,25 @@ def validate(rows: DataFrame, stored: DataFrame) -> DataFrame:
     return want.join(have, "tid", "full_outer").where(~F.col("next").eqNullSafe(F.col("stored")))
 
 
+def recover(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """(tid, next, was): the right chain, with what a stored chain (tid, next) had; null where it had nothing."""
+    have = stored.select("tid", F.col("next").alias("was")).dropDuplicates(["tid"])
+    return chain(rows).join(have, "tid", "left")
+
+
+def find(index: Index, preds: list, rows: DataFrame, any_of: bool = False) -> DataFrame:
+    """(aid, tid): articles with snapshots that an index of snapshots (loc = tid) finds, each by its newest hit."""
+    return find_articles(search(index, preds, any_of=any_of).select(F.col("loc").alias("tid")), rows)
+
+
+def snapshot_documents(rows: DataFrame) -> DataFrame:
+    """(loc, text, mtime, labels, title) of snapshots, as an index takes them; repeated rows come once."""
+    label = labels(F.col("name"))
+    return snapshots(rows).select(
+        F.col("tid").alias("loc"), F.col("data").alias("text"), "mtime", F.array_compact(F.array(label)).alias("labels"), F.lit(None).cast("string").alias("title")
+    ).dropDuplicates(["loc"])
+
+
 def find_articles(found: DataFrame, rows: DataFrame) -> DataFrame:
     """(aid, tid): of found snapshots (tid) each article's newest hit, by the true aid."""
     ids = snapshots(rows).select("tid", "aid").distinct()

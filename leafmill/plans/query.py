@@ -99,9 +99,9 @@ def feature(kind: str, values, *, neg: bool = False) -> Predicate:
     return Predicate(some=some, neg=neg) if some else replace(NONE, neg=neg)
 
 
-def header(name: str, text: str, *, neg: bool = False) -> Predicate:
+def header(name: str, text: str, *, neg: bool = False, strict: bool = False) -> Predicate:
     """Keyword in a mail header's sentence; unlike a loose check, the keyword is verified as well."""
-    found = keyword(text, neg=neg)
+    found = keyword(text, neg=neg, strict=strict)
     return found if found.always is False else replace(found, start="^(?:" + "|".join(HEADERS[name]) + "):")
 
 
@@ -157,6 +157,32 @@ def kana(text: str) -> str | None:
     return "".join(out) or None
 
 
+def _hiragana(text: str) -> str:
+    return "".join(chr(ord(c) - 0x60) if "ァ" <= c <= "ヶ" else c for c in text)
+
+
+def reading_pairs(text: str | None, known: dict[str, list[str]]) -> list[str]:
+    """Pairs of morae that a text may be read with: inside readings, and from one to those that may follow it; none for null.
+
+    ``known`` has the readings of words; a kana reads as it stands.
+    """
+    if not text:
+        return []
+    sizes = sorted({len(w) for w in known})
+    text = _hiragana(text)
+    spans: list[list[tuple[int, str]]] = []
+    for i, c in enumerate(text):
+        here = [(i + 1, c)] if "ぁ" <= c <= "ゖ" or c == "ー" else []
+        spans.append(here + [(i + n, _hiragana(r)) for n in sizes for r in known.get(text[i : i + n], ()) if i + n <= len(text)])
+    out = set()
+    for here in spans:
+        for end, r in here:
+            out.update(r[k : k + 2] for k in range(len(r) - 1))
+            for _, after in spans[end] if end < len(text) else ():
+                out.add(r[-1] + after[0])
+    return sorted(out)
+
+
 def parse(query: str, *, strict: bool = False, most: int = MOST_TERMS) -> list[Predicate]:
     """Predicates of a query string: words, ``"phrases"``, ``-`` or ``!`` negation, ``title:``, ``date:``,
     ``label:``, mail headers, ``message-id:`` and ``references:``; terms beyond ``most`` don't count.
@@ -176,7 +202,7 @@ def parse(query: str, *, strict: bool = False, most: int = MOST_TERMS) -> list[P
         elif name == "label":
             out.append(feature("label", rest.split(","), neg=neg))
         elif name in HEADERS:
-            out.append(header(name, rest, neg=neg))
+            out.append(header(name, rest, neg=neg, strict=strict))
         elif name in ("message-id", "references"):
             out.append(message(rest, refer=name == "references", neg=neg))
         else:

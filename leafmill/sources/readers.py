@@ -20,7 +20,7 @@ from leafmill.operators.index import line_sents, number_sents, plain_sents
 BLOCK = frozenset("br p div li dd dt td th h1 h2 h3 h4 h5 h6 title pre blockquote address".split())
 DROPPED = frozenset("script style".split())
 MAIL_HEADERS = ("from", "subject", "to", "cc", "bcc", "date")
-#: Bytes of a mail that are parsed.
+#: Bytes of a mail that the original tool parses.
 MAIL_BYTES = 1_000_000
 
 # A comment ends at the first ->; a < inside a tag ends it; a CDATA section is text.
@@ -138,8 +138,8 @@ def _body(part) -> str:
         return data.decode("latin-1")
 
 
-def _parsed(text: str):
-    return email.message_from_bytes(text.encode("utf-8", "surrogateescape")[:MAIL_BYTES])
+def _parsed(text: str, most: int | None):
+    return email.message_from_bytes(text.encode("utf-8", "surrogateescape")[:most])
 
 
 
@@ -151,16 +151,17 @@ def _get(message, name: str) -> str | None:
     return None
 
 
-def mail(text: str | None) -> dict | None:
+def mail(text: str | None, most: int | None = None) -> dict | None:
     """Headers, ids and parts of a mail; None for null.
 
     A multipart mail keeps no text of its own: its text, HTML and message
     leaves are parts from 1 on. Other mails have their body as part 0. A date
-    that can't be read is 0.
+    that can't be read is 0. With ``most`` only so many bytes are parsed, as
+    the original tool does at ``MAIL_BYTES``.
     """
     if text is None:
         return None
-    m = _parsed(text)
+    m = _parsed(text, most)
     date = 0
     if (d := _get(m, "date")) is not None:
         try:
@@ -236,7 +237,7 @@ def mail_parts(df: DataFrame, key: str, text: str) -> DataFrame:
     return _mails(df, key, text, "part int, kind string, text string", lambda m: m["parts"])
 
 
-def sents_of(df: DataFrame, keys: list[str], text: str, doctype: str, title: str | None = None) -> DataFrame:
+def sents_of(df: DataFrame, keys: list[str], text: str, doctype: str, title: str | None = None, most: int | None = None) -> DataFrame:
     """(keys, sent_id, sent) of documents by type: T plain, C lines, H blocks of HTML, E mail headers then body.
 
     An unknown type reads as plain text. Python runs over pages and mails only.
@@ -245,11 +246,11 @@ def sents_of(df: DataFrame, keys: list[str], text: str, doctype: str, title: str
     rest = df.where(~t.isin("H", "E"))
     cut_text = F.when(t == "C", line_sents(F.col(text))).otherwise(plain_sents(F.col(text)))
     head = F.col(title) if title else None
-    out = number_sents(rest, keys, cut_text, head)
+    out = number_sents(rest, keys, cut_text, head, most)
     pages = df.where(t == "H")
-    out = out.unionByName(number_sents(pages, keys, html_sents(F.col(text)), head))
+    out = out.unionByName(number_sents(pages, keys, html_sents(F.col(text)), head, most))
     mails = df.where(t == "E").withColumn("_s", _mail_sents(F.col(text)))
-    return out.unionByName(number_sents(mails, keys, F.flatten(F.transform("_s", plain_sents))))
+    return out.unionByName(number_sents(mails, keys, F.flatten(F.transform("_s", plain_sents)), most=most))
 
 
 def with_leaves(df: DataFrame, text: str, doctype: str) -> DataFrame:
@@ -266,6 +267,13 @@ def _leaves(text: str | None):
     return [(n, kinds[kind], body) for n, kind, body in (mail(text) or {"parts": []})["parts"] if n and kind in kinds]
 
 
+@F.udf(ArrayType(StructType([StructField("kind", StringType()), StructField("term", StringType())])))
+def mail_ids(text: str | None):
+    """(kind, term): a mail's own id and those it replies and refers to, each once; none for null."""
+    m = mail(text) or {}
+    return list(dict.fromkeys((k, t) for k in ("msgid", "reply", "ref") for t in m.get(k, ())))
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def _mail_sents(text: pd.Series) -> pd.Series:
     def one(t):

@@ -35,7 +35,8 @@ class SegmentSink:
         )
         # The segments row goes last: a segment without it isn't read.
         for name in ("docinfo", "sents", "postings"):
-            tables[name].drop("seg").write.mode("overwrite").parquet(f"{self.path}/{name}/seg={batch_id}")
+            keys = [c for c in ("kind", "term", "doc_id", "sent_id") if c in tables[name].columns]
+            tables[name].drop("seg").sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{self.path}/{name}/seg={batch_id}")
         segment.write.mode("overwrite").parquet(f"{self.path}/segments/seg={batch_id}")
 
 
