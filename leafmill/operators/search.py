@@ -207,6 +207,16 @@ def highlighted(text: str, patterns: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def ranges(*patterns: str):
+    """``highlighted`` as a function of a text column: an array of (start, end) for each text; null for null."""
+
+    @F.udf("array<struct<start:int,end:int>>")
+    def run(text):
+        return None if text is None else highlighted(text, list(patterns))
+
+    return run
+
+
 def _java_to_python(pattern: str) -> str:
     return pattern.replace(r"[^\p{L}\p{N}_]*", r"\W*")
 

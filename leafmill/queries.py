@@ -83,14 +83,23 @@ def _shown(found: DataFrame) -> DataFrame:
     return found.select("seg", "fname", "doc_id", "loc", "mtime", F.array_min("contexts").alias("first_sent"))
 
 
-def _searching(name: str, text: str, any_of: bool = False, strict: bool = False) -> None:
+def _hand(*terms: tuple[str, str], like: str | None = None, **more) -> ql.Predicate:
+    """A condition for the SQL, with its terms and pattern written out by hand, so that it doesn't depend on the parser."""
+    return ql.Predicate(every=terms, pattern=like, **more)
+
+
+_NO_WORD = r"[^\p{L}\p{N}_]*"
+_HARBOR = [_hand(("word", "harbor"), like="harbor")]
+
+
+def _searching(name: str, text: str, *by_hand: ql.Predicate, any_of: bool = False, strict: bool = False) -> None:
     preds = ql.parse(text, strict=strict)
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         return _shown(se.search(_index(spark, d), preds, any_of=any_of))
 
     run.__name__, run.__doc__ = name, f"Documents of the published segments that match {text!r}."
-    _query(_search_sql(preds, any_of))(run)
+    _query(_search_sql(list(by_hand), any_of))(run)
 
 
 # --- deliveries
@@ -123,55 +132,57 @@ def p4_found(spark, d):
 
 # --- search over the segments
 
-_searching("kw_and", "harbor catalog")
-_searching("kw_or", "harbor catalog", any_of=True)
-_searching("kw_not", "harbor -river")
-_searching("kw_not_only", "-the")
-_searching("kw_or_not", "harbor catalog -lunch", any_of=True)
-_searching("kw_phrase", '"near the harbor"')
-_searching("kw_strict", '"lunch."', strict=True)
-_searching("kw_title", "title:harbor")
-_searching("kw_hot", "the")
-_searching("kw_cjk", "図書館")
-_searching("kw_mixed", "harbor date:2023 label:archive,todo")
-_searching("date_feature", "date:2023/01")
-_searching("date_or", "date:2022/12,2023/2,2023/01/23")
-_searching("label_search", "label:archive,todo")
-
-
-@_query(f"WITH x AS ({_search_sql(ql.parse('harbor'))}) SELECT * FROM x WHERE loc IS NULL UNION ALL SELECT * FROM (SELECT * FROM x WHERE loc IS NOT NULL QUALIFY row_number() OVER (PARTITION BY loc ORDER BY fname DESC, doc_id DESC) = 1)")
+_CATALOG, _NEAR = _hand(("word", "catalog"), like="catalog"), [("word", "near"), ("word", "the"), ("word", "harbor")]
+_searching("kw_and", "harbor catalog", *_HARBOR, _CATALOG)
+_searching("kw_or", "harbor catalog", *_HARBOR, _CATALOG, any_of=True)
+_searching("kw_not", "harbor -river", *_HARBOR, _hand(("word", "river"), neg=True))
+_searching("kw_not_only", "-the", _hand(("word", "the"), neg=True))
+_searching("kw_or_not", "harbor catalog -lunch", *_HARBOR, _CATALOG, _hand(("word", "lunch"), neg=True), any_of=True)
+_searching("kw_phrase", '"near the harbor"', _hand(*_NEAR, like=f"near{_NO_WORD}the{_NO_WORD}harbor"))
+_searching("kw_strict", '"lunch."', _hand(("word", "lunch"), like=r"lunch\s*\.", exact=True), strict=True)
+_searching("kw_title", "title:harbor", _hand(("word", "harbor"), like="harbor", title=True))
+_searching("kw_hot", "the", _hand(("word", "the"), like="the"))
+_searching("kw_cjk", "図書館", _hand(("gram", "図書"), ("gram", "書館"), like=f"図{_NO_WORD}書{_NO_WORD}館"))
+_LABELS = ql.Predicate(some=(("label", "archive"), ("label", "todo")))
+_searching("kw_mixed", "harbor date:2023 label:archive,todo", *_HARBOR, ql.Predicate(some=(("date", "2023"),)), _LABELS)
+_searching("date_feature", "date:2023/01", ql.Predicate(some=(("date", "2023/01"),)))
+_searching("date_or", "date:2022/12,2023/2,2023/01/23", ql.Predicate(some=(("date", "2022/12"), ("date", "2023/02"), ("date", "2023/01/23"))))
+_searching("label_search", "label:archive,todo", _LABELS)
+
+
+@_query(f"WITH x AS ({_search_sql(_HARBOR)}) SELECT * FROM x WHERE loc IS NULL UNION ALL SELECT * FROM (SELECT * FROM x WHERE loc IS NOT NULL QUALIFY row_number() OVER (PARTITION BY loc ORDER BY fname DESC, doc_id DESC) = 1)")
 def search_dedupe(spark, d):
     """Hits of which only the newest row of each location stays."""
     return _shown(se.search(_index(spark, d), ql.parse("harbor"), dedupe=True))
 
 
-@_query(f"SELECT * FROM ({_search_sql(ql.parse('harbor'))}) ORDER BY fname DESC, doc_id DESC LIMIT 10")
+@_query(f"SELECT * FROM ({_search_sql(_HARBOR)}) ORDER BY fname DESC, doc_id DESC LIMIT 10")
 def search_top10(spark, d):
     """Newest ten hits; a page is the feature."""
     return _shown(se.page(se.search(_index(spark, d), ql.parse("harbor")), 10))
 
 
-@_query(f"SELECT * FROM ({_search_sql(ql.parse('harbor'))}) WHERE fname < 'bbb00009' OR fname = 'bbb00009' ORDER BY fname DESC, doc_id DESC LIMIT 10")
+@_query(f"SELECT * FROM ({_search_sql(_HARBOR)}) WHERE fname < 'bbb00009' OR fname = 'bbb00009' ORDER BY fname DESC, doc_id DESC LIMIT 10")
 def search_page(spark, d):
     """Ten hits after a saved place."""
     return _shown(se.page(se.search(_index(spark, d), ql.parse("harbor")), 10, ql.save_token("bbb00009", 1 << 30, 10)))
 
 
-@_query(f"SELECT seg, doc_id, CAST(row_number() OVER (ORDER BY fname DESC, doc_id DESC) AS BIGINT) AS place FROM ({_search_sql(ql.parse('harbor'))})")
+@_query(f"SELECT seg, doc_id, CAST(row_number() OVER (ORDER BY fname DESC, doc_id DESC) AS BIGINT) AS place FROM ({_search_sql(_HARBOR)})")
 def search_place(spark, d):
     """Place of every hit in the listing, from 1."""
     found = se.search(_index(spark, d), ql.parse("harbor")).select("fname", "seg", "doc_id")
     return number(found, F.desc("fname"), F.desc("doc_id"), name="place").select("seg", "doc_id", (F.col("place") + 1).alias("place"))
 
 
-@_query(f"SELECT seg, doc_id, loc FROM ({_search_sql(ql.parse('harbor'))}) WHERE (fname > 'aaa00000.cdb' OR fname = 'aaa00000.cdb' AND doc_id >= 100) AND (fname < 'idx00003.cdb' OR fname = 'idx00003.cdb' AND doc_id <= 200)")
+@_query(f"SELECT seg, doc_id, loc FROM ({_search_sql(_HARBOR)}) WHERE (fname > 'aaa00000.cdb' OR fname = 'aaa00000.cdb' AND doc_id >= 100) AND (fname < 'idx00003.cdb' OR fname = 'idx00003.cdb' AND doc_id <= 200)")
 def doc_range(spark, d):
     """Hits between two places of the index."""
     found = se.search(_index(spark, d), ql.parse("harbor"))
     return se.between(found, ("aaa00000.cdb", 100), ("idx00003.cdb", 200)).select("seg", "doc_id", "loc")
 
 
-@_query(f"SELECT seg, doc_id, loc FROM ({_search_sql(ql.parse('harbor'))}) WHERE loc NOT LIKE 'mail/%' AND (loc LIKE 'site/%' OR mtime > 1690000000)")
+@_query(f"SELECT seg, doc_id, loc FROM ({_search_sql(_HARBOR)}) WHERE loc NOT LIKE 'mail/%' AND (loc LIKE 'site/%' OR mtime > 1690000000)")
 def doc_predicate(spark, d):
     """Hits that a list of document rules lets pass."""
     loc = F.col("loc")
@@ -179,7 +190,7 @@ def doc_predicate(spark, d):
     return se.decide(se.search(_index(spark, d), ql.parse("harbor")), rules).select("seg", "doc_id", "loc")
 
 
-@_query(f"WITH x AS ({_search_sql(ql.parse('harbor'))}), t AS (SELECT CAST(sum(ndocs) AS BIGINT) AS total FROM (SELECT DISTINCT seg, ndocs FROM segments WHERE fname LIKE '%.cdb')), f AS (SELECT count(*) AS n FROM x WHERE fname >= 'bbb'), s AS (SELECT CAST(sum(ndocs) AS BIGINT) AS searched FROM (SELECT DISTINCT seg, ndocs, fname FROM segments WHERE fname LIKE '%.cdb' AND fname >= 'bbb')) SELECT n AS found, searched, total, n + n * (total - searched) // greatest(searched, 1) AS expected FROM t, f, s")
+@_query(f"WITH x AS ({_search_sql(_HARBOR)}), t AS (SELECT CAST(sum(ndocs) AS BIGINT) AS total FROM (SELECT DISTINCT seg, ndocs FROM segments WHERE fname LIKE '%.cdb')), f AS (SELECT count(*) AS n FROM x WHERE fname >= 'bbb'), s AS (SELECT CAST(sum(ndocs) AS BIGINT) AS searched FROM (SELECT DISTINCT seg, ndocs, fname FROM segments WHERE fname LIKE '%.cdb' AND fname >= 'bbb')) SELECT n AS found, searched, total, n + n * (total - searched) // greatest(searched, 1) AS expected FROM t, f, s")
 def hit_estimate(spark, d):
     """Hits to expect in all segments from those of the segments from ``bbb`` on."""
     found = se.search(_index(spark, d), ql.parse("harbor")).where("fname >= 'bbb'").agg(F.count("*").alias("found"))
@@ -192,7 +203,7 @@ def hit_estimate(spark, d):
     return both.withColumn("expected", F.expr("found + found * (total - searched) div greatest(searched, 1)"))
 
 
-@_query(f"SELECT count(*) AS narrowed, count(*) FILTER (ok) AS verified FROM (SELECT n.*, bool_or(coalesce(regexp_matches(lower(s.sent), {_lit(ql.keyword_pattern('near the harbor'))}), false)) AS ok FROM ({_pred_sql(ql.keyword('near the harbor', neg=True))}) n JOIN (SELECT DISTINCT seg FROM segments WHERE fname LIKE '%.cdb') l ON n.seg = l.seg LEFT JOIN sents s ON n.seg = s.seg AND n.doc_id = s.doc_id AND n.sent_id = s.sent_id GROUP BY ALL)")
+@_query(f"SELECT count(*) AS narrowed, count(*) FILTER (ok) AS verified FROM (SELECT n.*, bool_or(coalesce(regexp_matches(lower(s.sent), {_lit(f'near{_NO_WORD}the{_NO_WORD}harbor')}), false)) AS ok FROM ({_pred_sql(_hand(*_NEAR, neg=True))}) n JOIN (SELECT DISTINCT seg FROM segments WHERE fname LIKE '%.cdb') l ON n.seg = l.seg LEFT JOIN sents s ON n.seg = s.seg AND n.doc_id = s.doc_id AND n.sent_id = s.sent_id GROUP BY ALL)")
 def search_counters(spark, d):
     """Sentences that the terms narrow to, and those that the pattern verifies."""
     i, p = _index(spark, d), ql.keyword("near the harbor")
@@ -203,7 +214,7 @@ def search_counters(spark, d):
     return each.agg(F.count("*").alias("narrowed"), F.count_if("ok").alias("verified"))
 
 
-@_query(f"WITH x AS ({_search_sql(ql.parse('harbor'))}) SELECT DISTINCT x.seg AS seg, x.doc_id AS doc_id, x.first_sent AS first_sent, s.sent AS sent FROM x JOIN sents s ON x.seg = s.seg AND x.doc_id = s.doc_id AND x.first_sent = s.sent_id")
+@_query(f"WITH x AS ({_search_sql(_HARBOR)}) SELECT DISTINCT x.seg AS seg, x.doc_id AS doc_id, x.first_sent AS first_sent, s.sent AS sent FROM x JOIN sents s ON x.seg = s.seg AND x.doc_id = s.doc_id AND x.first_sent = s.sent_id")
 def snippet_first_match(spark, d):
     """First verified sentence of each hit."""
     found = _shown(se.search(_index(spark, d), ql.parse("harbor"))).select("seg", "doc_id", "first_sent")
@@ -218,6 +229,14 @@ def snippet_highlight(spark, d):
     return s.select("seg", "doc_id", "sent_id", marks(F.col("sent"), "harbor").alias("shown")).distinct()
 
 
+@_query("SELECT DISTINCT seg, doc_id, sent_id, CAST(len(regexp_extract_all(sent, 'harbor')) AS INT) AS n, CAST(strpos(sent, 'harbor') - 1 AS INT) AS first FROM sents WHERE contains(sent, 'harbor')")
+def snippet_ranges(spark, d):
+    """Every sentence with a match: how many ranges are highlighted and where the first begins."""
+    s = table(spark, d, "sents", "seg", "doc_id", "sent_id", "sent").where(F.col("sent").contains("harbor"))
+    found = se.ranges("harbor")(F.col("sent"))
+    return s.select("seg", "doc_id", "sent_id", F.size(found).alias("n"), found[0]["start"].alias("first")).distinct()
+
+
 @_query()
 def snippet_full(spark, d):
     """Title and snippet of every hit, contexts cut around the matches."""
@@ -402,6 +421,28 @@ def raw_sents(spark, d):
     return ix.number_sents(text, ["loc"], ix.plain_sents(F.col("text")))
 
 
+@_query("SELECT DISTINCT docid AS loc, mtime, octet_length(encode(doctext)) AS size, doctext AS text FROM doctexts")
+def corpus_database(spark, d):
+    """Documents of a database table as a corpus."""
+    docs = corpus.reader("sql")(table(spark, d, "doctexts", "docid", "doctext", "mtime"))
+    return docs.select("loc", "mtime", "size", readers.decoded("content", "encoding").alias("text")).distinct()
+
+
+@_query("SELECT p_brand AS loc, 0 AS mtime, octet_length(encode(arg_min(p_type, p_partkey))) AS size, arg_min(p_type, p_partkey) AS text FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand")
+def corpus_key_values(spark, d):
+    """Entries of a key-value table as a corpus: the first value of each key."""
+    docs = corpus.reader("kv")(_parts(spark, d).where("key is not null"))
+    return docs.select("loc", "mtime", "size", readers.decoded("content", "encoding").alias("text"))
+
+
+@_query("SELECT 'nation-' || n_nationkey AS loc, n_name AS title FROM nation")
+def corpus_hooks(spark, d):
+    """A corpus whose locations and titles are columns of their own."""
+    rows = table(spark, d, "nation", "n_nationkey", "n_name")
+    named = corpus.corpus(rows, loc=F.concat(F.lit("nation-"), F.col("n_nationkey").cast("string")), title=F.col("n_name"))
+    return named.select("loc", "title")
+
+
 # --- mails
 
 _HEAD = "string_split(replace(text, chr(13), ''), chr(10) || chr(10))[1]"
@@ -478,6 +519,14 @@ def mail_thread(spark, d, mails=_mail_docs):
     return se.search(i, [ql.message(f"<{first}>", refer=True)]).select("doc_id", "loc")
 
 
+@_query(f"WITH m AS (SELECT doc_id, regexp_extract({_FIELD('Message-ID')}, '<([^<>]+)>', 1) AS term FROM ({_MAILS}) WHERE {_FIELD('Message-ID')} IS NOT NULL) SELECT CAST(doc_id AS INT) AS doc_id FROM m WHERE term = (SELECT arg_max(term, doc_id) FROM m)")
+def mail_by_id(spark, d, mails=_mail_docs):
+    """Mails with a message's id; the message is the one of the greatest document."""
+    i = _mail_index(spark, d, mails)
+    last = i.postings.where("kind = 'msgid'").agg(F.max_by("term", "doc_id")).first()[0]
+    return se.search(i, ql.parse(f"message-id:<{last}>")).select("doc_id")
+
+
 def _whole(query):
     """A query over every mail as ``NAME_all``, those that don't begin as the SQL wants included; it has no SQL."""
 
@@ -494,19 +543,21 @@ for _q in (mail_headers, mail_features, mail_info, mail_parts, mail_sender_searc
 
 # --- readings
 
-_READINGS = [(1, "としょかん"), (2, "がくせい"), (3, "かんじ"), (4, "しょるい"), (5, "とけい"), (6, "しんかんせん")]
+#: A small dictionary of words and their readings.
+_READINGS = (
+    ("図書館", "としょかん"), ("学生", "がくせい"), ("漢字", "かんじ"), ("文書", "ぶんしょ"), ("辞書", "じしょ"), ("時計", "とけい"), ("報告書", "ほうこくしょ"),
+)
 
 
-@_query("""WITH r(id, yomi) AS (VALUES (1, 'としょかん'), (2, 'がくせい'), (3, 'かんじ'), (4, 'しょるい'), (5, 'とけい'), (6, 'しんかんせん'))
-    SELECT CAST(id AS INT) AS doc_id FROM r WHERE contains(yomi, 'しょ')""")
+@_query("SELECT DISTINCT seg, doc_id FROM sents WHERE seg IN (SELECT seg FROM segments WHERE fname LIKE '%.cdb') AND regexp_matches(sent, '図書館|文書|辞書|報告書|しょ|ショ|シょ|しョ') AND (seg, doc_id) IN (SELECT (seg, doc_id) FROM docinfo)")
 def yomi_search(spark, d):
-    """Readings that hold what a Latin spelling reads, on a small table of readings."""
+    """Documents with a sentence that can be read as a Latin spelling says, by the readings of its words and its kana."""
     keys = ["seg", "doc_id"]
-    rows = spark.createDataFrame([(0, i, y) for i, y in _READINGS], "seg int, doc_id int, yomi string")
-    post = rows.select(F.lit("yomi").alias("kind"), F.explode(readings(F.col("yomi"))).alias("term"), *keys, F.lit(0).alias("sent_id"))
-    segments = spark.createDataFrame([(0, "idx", "idx00000.cdb")], "seg int, prefix string, fname string")
-    i = se.Index(post, rows.select(*keys, F.lit(0).alias("sent_id"), F.col("yomi").alias("sent")), rows.select(*keys, F.lit(0).alias("mtime"), F.col("yomi").alias("loc")), segments)
-    return se.search(i, [ql.reading(ql.kana("sho"))]).select("doc_id")
+    i = _index(spark, d)
+    words = spark.createDataFrame(_READINGS, "word string, reading string")
+    sents = i.sents.select(*keys, "sent_id", "sent").where("sent is not null").distinct()
+    read = se.Index(ix.reading_postings(sents, keys, words), i.sents, i.docinfo, i.segments)
+    return se.search(read, [ql.reading(ql.kana("sho"))]).select(*keys).distinct()
 
 
 # --- upkeep of segments
@@ -642,11 +693,39 @@ def cms_validate(spark, d):
     return vs.validate(rows, doctored)
 
 
-@_query(f"WITH {_SNAPS} SELECT aid, max(tid) AS tid FROM snaps WHERE contains(lower(data), 'harbor') GROUP BY aid")
+@_query(f"WITH {_SNAPS} SELECT aid, max(tid) AS tid FROM snaps WHERE regexp_matches(lower(data), '(^|[^\\p{{L}}\\p{{N}}_])harbor([^\\p{{L}}\\p{{N}}_]|$)') GROUP BY aid")
 def cms_find_articles(spark, d):
-    """Articles with a snapshot that holds a word, each by its newest hit."""
+    """Articles with a snapshot that holds a word, each by its newest hit, found in an index of all snapshots."""
+    rows = table(spark, d, "articles")
+    tables = ix.build(vs.snapshot_documents(rows), ["loc"], labels="labels")
+    segments = tables["segments"].withColumn("fname", F.format_string("idx%05d.cdb", "seg"))
+    return vs.find(se.Index(tables["postings"], tables["sents"], tables["docinfo"], segments), ql.parse("harbor"), rows)
+
+
+_TOP = "(SELECT max(('0x' || tid)::BIGINT) FROM articles)"
+
+
+@_query(f"SELECT printf('%08x', n) AS tid, printf('%08x', n) AS aid, printf('%08x', n) || printf('%08x', n) || coalesce(source, '') || '.gz' AS name FROM (SELECT source, {_TOP} + row_number() OVER (ORDER BY doc_id) AS n FROM documents)")
+def cms_create(spark, d):
+    """Snapshots that new articles of all documents would get."""
+    docs = table(spark, d, "documents", "doc_id", "text", "source", "mtime")
+    new = docs.select(F.col("doc_id").alias("pos"), F.col("source").alias("label"), "mtime", F.col("text").alias("data"))
+    return vs.create(table(spark, d, "articles"), new).select("tid", "aid", "name")
+
+
+@_query(f"WITH {_SNAPS} SELECT printf('%08x', {_TOP} + row_number() OVER (ORDER BY aid)) AS tid, aid FROM (SELECT DISTINCT aid FROM snaps)")
+def cms_modify(spark, d):
+    """Snapshots that an edit of every article would get."""
+    rows = table(spark, d, "articles")
+    new = vs.articles(rows).select(F.col("aid").alias("pos"), "aid", F.lit(None).cast("string").alias("label"), F.lit(1).alias("mtime"), F.lit("x").alias("data"))
+    return vs.modify(rows, new).select("tid", "aid")
+
+
+@_query(f"WITH {_SNAPS}, {_CHAIN} SELECT tid, next, CASE WHEN next < tid THEN next END AS was FROM chain")
+def cms_recover(spark, d):
+    """The right chain beside a stored one that lost some records."""
     rows = table(spark, d, "articles")
-    return vs.find_articles(rows.where(F.lower("data").contains("harbor")), rows)
+    return vs.recover(rows, vs.chain(rows).where("next < tid"))
 
 
 @_query(f"WITH {_SNAPS}, {_CHAIN} SELECT DISTINCT aid, CASE WHEN name LIKE '%.gz' AND length(name) > 19 THEN substr(name, 17, length(name) - 19) END AS label FROM snaps")
