@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.plans.query import Predicate, load_token
-from leafmill.session import small
+from leafmill.session import cut, small
 
 
 @dataclass
@@ -101,7 +101,8 @@ def search(index: Index, preds: list[Predicate], *, any_of: bool = False, dedupe
     used = [p for p in preds if p.terms]
     hits = None
     if used:
-        cand = narrow(index, used)
+        # Written once, so that measuring a side doesn't scan the postings again.
+        cand = cut(narrow(index, used))
         needs = [i for i, p in enumerate(used) if not p.neg and (p.pattern or p.start)]
         if needs:
             # Repeated sentences don't matter to what follows, so the table isn't shuffled to remove them.
@@ -124,6 +125,7 @@ def search(index: Index, preds: list[Predicate], *, any_of: bool = False, dedupe
             *[F.bool_or(f"p{i}").alias(f"p{i}") for i in range(len(used))],
             *[F.min(F.when(F.col(f"p{i}"), F.col("sent_id"))).alias(f"s{i}") for i in range(len(used))],
         )
+        hits = cut(hits)
     place = {id(p): i for i, p in enumerate(used)}
 
     def holds(p: Predicate) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -54,15 +55,18 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It comes from ``spark.checkpoint.dir``; only where that is unset, as in
-    tests, a temporary folder of this machine stands in.
+    It comes from ``spark.checkpoint.dir``, or from the context if that was
+    given one. Only a local master, as in tests, may go without: there a
+    temporary folder stands in. On a cluster that would lose data, so it is an
+    error.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.gettempdir()}/leafmill-{os.getpid()}"
-        if spark.sparkContext.getCheckpointDir():
-            return spark.sparkContext.getCheckpointDir()
-    return at
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if at:
+        return at
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    return f"file://{tempfile.gettempdir()}/leafmill-{os.getpid()}"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -316,3 +316,17 @@ def test_the_package_is_shipped_once(spark):
     files = spark.sparkContext.listFiles
     ship(spark)
     assert sum("leafmill.zip" in f for f in files) == 1 and spark.sparkContext.listFiles == files
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Some
+
+    from leafmill.session import shared_dir
+
+    def session(master, conf=None):
+        return Some(conf=Some(get=lambda *_: conf), sparkContext=Some(master=master, getCheckpointDir=lambda: None))
+
+    assert shared_dir(session("local[4]")).startswith("file://") and shared_dir(session("yarn", "hdfs:///x")) == "hdfs:///x"
+    for master in ("yarn", "spark://a:1", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))
